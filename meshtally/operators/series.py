@@ -23,7 +23,8 @@ def to_series(df: DataFrame, run: str | Column, metric: str | Column, kind: str,
               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Points from a metric table. Numeric x values are labelled as whole numbers.
 
-    Points are numbered by x unless ``pos`` names their order.
+    Points are numbered by x unless ``pos`` names their order. Numbering reads
+    ``df`` twice, so a costly one should be settled first.
     """
     numeric = dict(df.dtypes)[x] != "string"
     label = F.col(x).cast("bigint").cast("string") if numeric and kind == "bar" else F.col(x).cast("string")

@@ -18,6 +18,7 @@ from meshtally.operators.formats import format_table
 from meshtally.operators.process import process
 from meshtally.operators.series import to_series
 from meshtally.operators.stats import error_bars, fitted_cdf
+from meshtally.session import settle
 from meshtally.sources.logs import scrape, scrape_once
 
 Tables = Mapping[str, DataFrame]
@@ -151,13 +152,14 @@ def metric_series(name: str, tables: Tables, profile: str, arguments: Mapping |
     if name == "latency" and "xlabel" in args:
         title = f"{args['xlabel']}_{title}"
     given = {t: tables[t] for t in {*needed, source}}
-    points = metric.points(given[source], given, by, profile, **args)
+    # the few points of a metric come from a whole log and are read several
+    # times from here on: worked out once, then kept
+    points = settle(metric.points(given[source], given, by, profile, **args))
     if metric.errors:
         points = error_bars(points, by)
-    series = to_series(
+    return to_series(
         points, F.col("run") if "run" in by else str(run), title, metric.kind, "x", "y",
         metric.xlabel, metric.ylabel, "err" if metric.errors else None, metric.pos)
-    return series
 
 
 def analyse(lines: DataFrame, profile: str, patterns: Sequence[str], plots: Mapping[str, Mapping | None],

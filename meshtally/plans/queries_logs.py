@@ -74,15 +74,9 @@ def parse_multi(spark, sf):
     names = ["atomic-op", "atomic-energy", "node", "icmp"]
     routed = logs.route(V.op_lines(spark, sf), names)
 
-    def field(name, sql_type):
-        return F.try_element_at("fields", F.lit(name)).try_cast(sql_type)
-
     return routed.select(
-        "event_id", "pattern", field("time", "bigint").alias("time"), field("node", "int").alias("node"),
-        field("module", "string").alias("module"), field("epoch", "bigint").alias("epoch"),
-        field("type", "string").alias("type"), field("hops", "int").alias("hops"),
-        field("n_phases", "int").alias("phases"), field("lat", "bigint").alias("lat"),
-        field("all_rdc", "double").alias("all_rdc"), field("degree", "int").alias("degree"))
+        "event_id", "pattern", "time", "node", "module", "epoch", "type", "hops",
+        F.col("n_phases").alias("phases"), "lat", "all_rdc", "degree")
 
 
 @query("parse_power", f"""

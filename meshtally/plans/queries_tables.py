@@ -24,7 +24,7 @@ from meshtally.sources import tables
 def _bars(spark, sf):
     """Mean value per run and hops, with holes: a run lacks the hop counts its own number rules out."""
     p = V.plog(spark, sf).withColumn("run", V.run_name())
-    return p.where("hops <> length(event_type)").groupBy("run", "hops").agg(F.avg("value").alias("y"))
+    return settle(p.where("hops <> length(event_type)").groupBy("run", "hops").agg(F.avg("value").alias("y")))
 
 
 _BARS = V.PLOG + f""",
@@ -39,7 +39,7 @@ def _bar_series(spark, sf):
 
 def _lines(spark, sf):
     p = V.plog(spark, sf).withColumn("run", V.run_name())
-    points = p.groupBy("run", "k").agg(F.avg("value").alias("y"))
+    points = settle(p.groupBy("run", "k").agg(F.avg("value").alias("y")))
     return series.to_series(stats.error_bars(points, ["run"]), F.col("run"), "lat", "line", "k", "y", "k", "Value", "err")
 
 
@@ -567,5 +567,5 @@ def experiment_series(spark, sf):
          "latency_v_hops": {"df": "atomic-op", "packets": types, "file": "lat"},
          "atomic_op_times": {"packets": types}},
         {"atomic-op": [{"filter": {"col": "active", "min": 1, "max": 1}}, {"filter": {"col": "hops", "min": 1, "max": 5}}]},
-        by=["run"])
+        by=["run"], store=f"{scratch_dir(spark)}/tables-{uuid.uuid4().hex}")
     return _rounded(result).drop("xlabel", "ylabel")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from meshtally.sources.patterns import Pattern, get_pattern
 
-# Marks a line that matched, and parts its fields. Neither is printable.
+# Marks a line that matched, and parts its fields. Neither is printable. An
+# unmatched line comes back unchanged, so one that starts with the mark itself is
+# told apart by comparing.
 _HIT, _SEP = "\u0002", "\u0001"
 
 
@@ -48,25 +50,22 @@ def _whole_line(pattern: Pattern, value: str) -> Column:
     return line
 
 
-def _matched(pattern: Pattern, value: str) -> Column:
-    """Array with the line's joined fields, empty where the line does not match."""
-    joined = _HIT + _SEP.join(f"${i}" for i in pattern.groups.values())
-    line = _whole_line(pattern, value)
-    # An unmatched line comes back as it went in, so it never starts with the
-    # mark unless the line itself did.
-    return F.filter(
-        F.array(F.regexp_replace(line, pattern.java, joined)),
-        lambda r: r.startswith(_HIT) & (r != line),
-    )
+def _joined(pattern: Pattern, line: Column, fields: Sequence[str]) -> Column:
+    """The line's fields joined in the given order; a line that does not match comes back as it is."""
+    return F.regexp_replace(line, pattern.java, _HIT + _SEP.join(
+        f"${pattern.groups[f]}" if f in pattern.groups else "" for f in fields))
 
 
-def _field(pattern: Pattern, parts: str, line: str, at: int, name: str) -> Column:
-    """Field number ``at``; a line that itself holds the separator is matched again."""
-    group = pattern.groups[name]
-    return (
-        F.when(F.size(parts) == len(pattern.groups), F.get(F.col(parts), F.lit(at)))
-        .otherwise(F.regexp_extract(line, pattern.java, group))
-    )
+def _each_group(pattern: Pattern, line: Column, fields: Sequence[str]) -> Column:
+    """The same fields, one match per field: for a line that itself holds the separator."""
+    return F.array(*[
+        F.regexp_extract(line, pattern.java, pattern.groups[f]) if f in pattern.groups else F.lit("")
+        for f in fields])
+
+
+def _parts(hit: str, fields: Sequence[str], otherwise: Column) -> Column:
+    parts = F.split(F.substr(hit, F.lit(2)), _SEP, -1)
+    return F.when(F.size(parts) == len(fields), parts).otherwise(otherwise)
 
 
 def parse(lines: DataFrame, pattern: str | Pattern, value: str = "value",
@@ -78,18 +77,19 @@ def parse(lines: DataFrame, pattern: str | Pattern, value: str = "value",
     Other columns of ``lines`` (or those in ``keep``) pass through.
     """
     p = get_pattern(pattern) if isinstance(pattern, str) else pattern
+    fields = list(p.groups)
     kept = [c for c in lines.columns if c != value] if keep is None else list(keep)
-    kept = [c for c in kept if c not in p.groups]
+    kept = [c for c in kept if c not in fields]
     if p.needs:
         lines = lines.where(F.contains(F.col(value), F.lit(p.needs)))
-    hits = lines.select(*kept, _whole_line(p, value).alias("_line"),
-                        F.explode(_matched(p, value)).alias("_hit"))
-    parts = hits.select(*kept, "_line", F.split(F.substr("_hit", F.lit(2)), _SEP, -1).alias("_parts"))
-    return parts.select(
-        *[_typed(_field(p, "_parts", "_line", i, g), p.type_of(g)).alias(g)
-          for i, g in enumerate(p.groups)],
-        *kept,
-    )
+    repaired = lines.select(*kept, _whole_line(p, value).alias("_line"))
+    hits = repaired.select(
+        *kept, "_line", F.explode(F.array(_joined(p, F.col("_line"), fields))).alias("_hit"),
+    ).where(F.startswith("_hit", F.lit(_HIT)) & (F.col("_hit") != F.col("_line")))
+    rows = hits.select(*kept, _parts("_hit", fields, _each_group(p, F.col("_line"), fields)).alias("_parts"))
+    return rows.select(
+        *[_typed(F.get(F.col("_parts"), F.lit(i)), p.type_of(f)).alias(f) for i, f in enumerate(fields)],
+        *kept)
 
 
 def scrape(lines: DataFrame, names: Sequence[str], value: str = "value") -> dict[str, DataFrame]:
@@ -98,48 +98,47 @@ def scrape(lines: DataFrame, names: Sequence[str], value: str = "value") -> dict
 
 
 def route(lines: DataFrame, names: Sequence[str], value: str = "value") -> DataFrame:
-    """One pass over the log for several patterns: (pattern, fields).
+    """One pass over the log for several patterns: ``pattern`` and the fields of all of them.
 
-    Patterns are not exclusive: a line gives one row per pattern it matches.
-    ``fields`` maps group name to captured text, absent groups left out.
+    Patterns are not exclusive: a line gives one row per pattern it matches,
+    with NULL in the fields that pattern does not have. A field whose type
+    differs between the patterns is text.
     """
-    kept = [c for c in lines.columns if c != value]
+    patterns = [get_pattern(n) for n in names]
+    fields = list(dict.fromkeys(f for p in patterns for f in p.groups))
+    kept = [c for c in lines.columns if c != value and c not in fields]
 
     def tagged(p: Pattern) -> Column:
-        found = F.transform(
-            _matched(p, value),
-            lambda r: F.struct(F.lit(p.name).alias("pattern"), r.alias("hit"),
-                               _whole_line(p, value).alias("line")))
-        # the cheap test guards the regex; a CASE branch runs only when chosen
-        if not p.needs:
-            return found
-        return F.when(F.contains(F.col(value), F.lit(p.needs)), found)
-
-    none = F.array().cast("array<struct<pattern:string,hit:string,line:string>>")
-    hits = lines.select(
-        *kept,
-        F.explode(F.concat(*[F.coalesce(tagged(get_pattern(n)), none) for n in names])).alias("_m"))
-    rows = hits.select(*kept, F.col("_m.pattern").alias("pattern"), F.col("_m.line").alias("_line"),
-                       F.split(F.substr("_m.hit", F.lit(2)), _SEP, -1).alias("_parts"))
-
-    def as_map(p: Pattern) -> Column:
-        pairs = F.array(*[
-            F.struct(F.lit(g).alias("k"), _field(p, "_parts", "_line", i, g).alias("v"))
-            for i, g in enumerate(p.groups)])
-        return F.map_from_entries(F.filter(pairs, lambda e: e["v"] != ""))
-
-    fields = F.when(F.lit(False), F.lit(None).cast("map<string,string>"))
-    for n in names:
-        fields = fields.when(F.col("pattern") == n, as_map(get_pattern(n)))
-    return rows.select("pattern", fields.alias("fields"), *kept)
-
-
-def routed_table(routed: DataFrame, name: str) -> DataFrame:
-    """The typed table of one pattern out of ``route``'s rows."""
+        found = _joined(p, _whole_line(p, value), fields)
+        # the cheap test guards the regex: a CASE branch runs only when chosen
+        found = F.when(F.contains(F.col(value), F.lit(p.needs)), found) if p.needs else found
+        return F.struct(F.lit(p.name).alias("pattern"), found.alias("_hit"))
+
+    hits = lines.select(*kept, value, F.inline(F.array(*[tagged(p) for p in patterns]))).where(
+        F.startswith("_hit", F.lit(_HIT)) & (F.col("_hit") != F.col(value))
+        & (F.col("_hit") != F.replace(F.col(value), F.lit(".-"), F.lit("."))))
+    again = F.lit(None).cast("array<string>")
+    for p in patterns:
+        again = F.when(F.col("pattern") == p.name, _each_group(p, _whole_line(p, value), fields)).otherwise(again)
+    rows = hits.select(*kept, "pattern", _parts("_hit", fields, again).alias("_parts"))
+
+    def sql_type(f: str) -> str:
+        types = {p.type_of(f) for p in patterns if f in p.groups}
+        return types.pop() if len(types) == 1 else "string"
+
+    return rows.select(
+        "pattern", *[_typed(F.get(F.col("_parts"), F.lit(i)), sql_type(f)).alias(f) for i, f in enumerate(fields)],
+        *kept)
+
+
+def routed_table(routed: DataFrame, name: str, names: Sequence[str]) -> DataFrame:
+    """The typed table of one pattern out of the rows that ``route`` made for ``names``."""
     p = get_pattern(name)
-    kept = [c for c in routed.columns if c not in ("pattern", "fields", *p.groups)]
+    every = {f for n in names for f in get_pattern(n).groups}
+    kept = [c for c in routed.columns if c != "pattern" and c not in every]
+    types = dict(routed.dtypes)
     return routed.where(F.col("pattern") == name).select(
-        *[_typed(F.try_element_at("fields", F.lit(g)), p.type_of(g)).alias(g) for g in p.groups],
+        *[(F.col(f) if types[f] == p.type_of(f) else _typed(F.col(f), p.type_of(f))).alias(f) for f in p.groups],
         *kept)
 
 
@@ -147,12 +146,12 @@ def scrape_once(lines: DataFrame, names: Sequence[str], path: str, value: str =
     """Read the log once, store all patterns under ``path``, return the typed tables.
 
     For logs too large to scan once per pattern; each table then reads only the
-    files of its own pattern.
+    files of its own pattern, and of those only the columns in use.
     """
     routed = route(lines, names, value)
     routed.write.mode("overwrite").partitionBy("pattern").parquet(path)
     stored = lines.sparkSession.read.schema(routed.schema).parquet(path)
-    return {name: routed_table(stored, name) for name in names}
+    return {name: routed_table(stored, name, names) for name in names}
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
