@@ -75,8 +75,17 @@ class Pattern:
 
     @property
     def java(self) -> str:
-        """For a whole-line replace: plain groups, Python-like classes, anchored."""
+        """For a whole-line replace: plain groups, Python-like classes, anchored.
+
+        A repeated group at the end of an expression becomes possessive. Anything
+        may follow it, so it never has to give back, and Java then loops instead
+        of recursing: a line with any number of fields fits the stack.
+        """
         plain = re.sub(r"\(\?P<\w+>", "(", self.regex)
+        if plain.endswith((")+.*?$", ")*.*?$")):
+            plain = plain.removesuffix(".*?$") + "+.*$"
+        elif plain.endswith((")+", ")*")):
+            plain += "+"
         tail = "" if plain.endswith("$") else ".*"
         return f"(?U)(?d){plain}{tail}"
 
