@@ -5,6 +5,8 @@ memory, and an ordered window sorts a whole group in one task. Both are fine up
 to ``ROWS_PER_TASK`` rows per group, which is checked first. Beyond it a group
 is cut into value ranges of about that many rows: each range is counted and
 sorted on its own, and the counts of the ranges before it are added.
+
+These functions read their input more than once: settle a costly one first.
 """
 
 from __future__ import annotations

@@ -23,8 +23,8 @@ def to_number(df: DataFrame, column: str, sql_type: str = "double", coerce: bool
 
 def in_list(df: DataFrame, column: str, values: Sequence, keep: bool = True) -> DataFrame:
     """Rows whose value is in the list, or not in it (NULL is in no list)."""
-    hit = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
-    return df.where(hit if keep else ~hit)
+    hit = F.col(column).isin(list(values))
+    return df.where(hit) if keep else df.where(~F.coalesce(hit, F.lit(False)))
 
 
 def lower_names(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from meshtally.operators.reconcile import reconcile, reconcile_testbed, round_tr
 from meshtally.plans import views as V
 from meshtally.plans.catalog import query
 from meshtally.plans.experiment import build_tables
-from meshtally.session import scratch_dir
+from meshtally.session import scratch_dir, settle
 from meshtally.sources import logs, tables
 
 CONTROL = ["FTQ", "FTS", "NSU"]
@@ -504,18 +504,18 @@ def latency_total(spark, sf):
 
 @query("latency_testbed", f"""
 WITH {V.PACKETS_TB}
-SELECT round(avg(lat) FILTER ("TX" = 1 AND "RX" = 1), 6) AS paired_lat, round(avg(lat), 6) AS mean_lat,
-  round(avg(lat) FILTER (received LIKE '%correct%'), 6) AS delivered_lat FROM packets""")
+SELECT round(avg(lat) FILTER ("TX" = 1 AND "RX" = 1), 2) AS paired_lat, round(avg(lat), 2) AS mean_lat,
+  round(avg(lat) FILTER (received LIKE '%correct%'), 2) AS delivered_lat FROM packets""")
 def latency_testbed(spark, sf):
     s = metrics.latency_testbed(testbed_packets(spark, sf))
-    return s.select(r6("paired_lat"), r6("mean_lat"), r6("delivered_lat"))
+    return s.select(*[F.round(c, 2).alias(c) for c in ("paired_lat", "mean_lat", "delivered_lat")])
 
 
 @query("latency_by_rtx", f"""
 WITH {V.PACKETS_TB}
-SELECT "RTX", round(avg(lat), 6) AS lat FROM packets WHERE "TX" = 1 AND "RX" = 1 GROUP BY "RTX" """)
+SELECT "RTX", round(avg(lat), 2) AS lat FROM packets WHERE "TX" = 1 AND "RX" = 1 GROUP BY "RTX" """)
 def latency_by_rtx(spark, sf):
-    return metrics.latency_by_retransmissions(testbed_packets(spark, sf)).select("RTX", r6("lat"))
+    return metrics.latency_by_retransmissions(testbed_packets(spark, sf)).select("RTX", F.round("lat", 2).alias("lat"))
 
 
 # --- association, traffic ---------------------------------------------------
@@ -558,7 +558,8 @@ WITH {V.OPS}
 SELECT round(avg(lat / 1000.0::DOUBLE), 6) AS mean, round(stddev_pop(lat / 1000.0::DOUBLE), 6) AS std_dev,
   round(median(lat / 1000.0::DOUBLE), 6) AS median, max(lat / 1000.0::DOUBLE) AS max FROM op_fmt WHERE type = 'ASSC'""")
 def assoc_stats_op(spark, sf):
-    s = metrics.association_stats(metrics.association_times(_ops(spark, sf), ["ASSC"]))
+    # read several times from here on: parsed once, then kept
+    s = metrics.association_stats(settle(metrics.association_times(_ops(spark, sf), ["ASSC"])))
     return s.select(r6("mean"), r6("std_dev"), r6("median"), "max")
 
 

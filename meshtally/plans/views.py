@@ -115,10 +115,15 @@ def sdn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "time", "node", "state", "type", "src", "dest", "seq", "hops")
 
 
+def line(*parts) -> Column:
+    """One text line; a part is text as it is, or a column."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
 def sdn_line() -> Column:
-    return F.format_string(
-        "%d: %d: [STAT: SDN ] %s %s s:%d d:%d a:2 id:%d h:%d m:0",
-        "time", "node", "state", "type", "src", "dest", "seq", "hops")
+    c = F.col
+    return line(c("time"), ": ", c("node"), ": [STAT: SDN ] ", c("state"), " ", c("type"), " s:", c("src"),
+                " d:", c("dest"), " a:2 id:", c("seq"), " h:", c("hops"), " m:0")
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,21 +178,21 @@ def op_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     op = F.element_at(F.array(*[F.lit(x) for x in ("CONF", "CLCT", "RACT", "ASSC")]), (F.col("g") % 4 + 1).cast("int"))
     cents = F.round(F.col("value") * 100).cast("bigint")
-    whole, part = F.expr("k div 10").cast("int"), F.col("k") % 10
-    p = p.withColumns({"op": op, "cents": cents, "whole": whole, "part": part})
-    power = F.format_string("%d.%02d / %d.-%d", F.expr("cents div 100"), F.expr("cents % 100"), "whole", "part")
+    p = p.withColumns({"op": op, "cents": cents, "dur": F.when(F.col("k") % 5 == 0, 0).otherwise(F.col("k"))})
+    c, e = F.col, F.expr
+    power = line(e("cents div 100"), ".", F.lpad((c("cents") % 100).cast("string"), 2, "0"),
+                 " / ", e("k div 10"), ".-", c("k") % 10)
+    head = line(c("time"), ": ", c("node"), ": ")
     return p.select(
-        F.when(kind == "view", F.format_string(
-            "%d: %d: INFO: OP ep:%d %s h:%d cp: %d tp: %d dur: %d tdur: %d an:%d",
-            "time", "node", "g", "op", "hops", F.expr("k % 3"), F.expr("k % 5"),
-            F.when(F.col("k") % 5 == 0, 0).otherwise(F.col("k")), F.col("k") * 3, F.expr("k % 2")))
-        .when(kind == "purchase", F.format_string(
-            "%d: %d: INFO: PW ep:%d %s h:%d np:%d gon:%d ron:%d con:%d (r %s)",
-            "time", "node", "g", "op", "hops", F.expr("k % 5"), "k", F.col("k") + 1, F.col("k") + 2, power))
-        .when(kind == "click", F.format_string(
-            "%d: %d: [STAT: RPL] h:%d, n:%d", "time", "node", "hops", F.expr("k % 9")))
-        .when(kind == "signup", F.format_string("%d: %d: [STAT: POW] PW (r %s)", "time", "node", power))
-        .otherwise(F.format_string("%d: %d: [STAT: ICMP]  type:%d code:%d", "time", "node", "k", "hops"))
+        F.when(kind == "view", line(
+            head, "INFO: OP ep:", c("g"), " ", c("op"), " h:", c("hops"), " cp: ", c("k") % 3, " tp: ", c("k") % 5,
+            " dur: ", c("dur"), " tdur: ", c("k") * 3, " an:", c("k") % 2))
+        .when(kind == "purchase", line(
+            head, "INFO: PW ep:", c("g"), " ", c("op"), " h:", c("hops"), " np:", c("k") % 5, " gon:", c("k"),
+            " ron:", c("k") + 1, " con:", c("k") + 2, " (r ", power))
+        .when(kind == "click", line(head, "[STAT: RPL] h:", c("hops"), ", n:", c("k") % 9))
+        .when(kind == "signup", line(head, "[STAT: POW] PW (r ", power))
+        .otherwise(line(head, "[STAT: ICMP]  type:", c("k"), " code:", c("hops")))
         .alias("value"), "event_id")
 
 
