@@ -14,7 +14,12 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The JIT skips methods above 8,000 bytes of code. Stages that parse many
+    # fields reach that; above it Spark then compiles expression by expression.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+# The ones above that also fit a session made elsewhere.
+_RUNTIME = ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit")
 
 _own_scratch: dict[str, str] = {}
 
@@ -31,10 +36,11 @@ def build_session(app: str = "meshtally", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Zone-less timestamps are read as UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings for a session made elsewhere: zone-less timestamps are UTC, short methods."""
+    for key in _RUNTIME:
+        if spark.conf.get(key) != SETTINGS[key]:
+            spark.conf.set(key, SETTINGS[key])
     return spark
 
 

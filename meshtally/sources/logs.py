@@ -57,10 +57,14 @@ def _joined(pattern: Pattern, line: Column, fields: Sequence[str]) -> Column:
 
 
 def _each_group(pattern: Pattern, line: Column, fields: Sequence[str]) -> Column:
-    """The same fields, one match per field: for a line that itself holds the separator."""
-    return F.array(*[
-        F.regexp_extract(line, pattern.java, pattern.groups[f]) if f in pattern.groups else F.lit("")
-        for f in fields])
+    """The same fields, one match per field: for a line that itself holds the separator.
+
+    Inside a lambda, which is not compiled with the rest: so rare a case must
+    not make the generated code too long for the JIT.
+    """
+    return F.flatten(F.transform(F.array(line), lambda text: F.array(*[
+        F.regexp_extract(text, pattern.java, pattern.groups[f]) if f in pattern.groups else F.lit("")
+        for f in fields])))
 
 
 def _parts(hit: str, fields: Sequence[str], otherwise: Column) -> Column:
