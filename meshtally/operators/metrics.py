@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meshtally.functions.maths import delivery_ratio, receive_ratio
 from meshtally.functions.packets import millis_to_seconds
 from meshtally.operators.ranks import ROWS_PER_TASK, join_on, last_value, modes, percentiles
+from meshtally.session import settle
 
 # Aggregates that a run description may name.
 AGGREGATES = {
@@ -174,6 +175,7 @@ def latency_by_hops(packets: DataFrame, types: Sequence[str], index: Sequence[st
 def _fill_hop(by_hops: DataFrame, hop: int | None, by: Sequence[str]) -> DataFrame:
     if hop is None:
         return by_hops
+    by_hops = settle(by_hops)  # a few rows from a whole log, used twice
     extra = (
         by_hops.groupBy(*by).agg(F.avg("lat").alias("lat"), F.count_if(F.col("hops") == hop).alias("_there"))
         .where(F.col("_there") == 0)

@@ -88,13 +88,12 @@ def add_ranges(df: DataFrame, groups: Sequence[str], order: str, tie: str | None
 
 
 def _range_starts(ranged: DataFrame, groups: Sequence[str], weight: Column) -> DataFrame:
-    """(groups, _range, _start, _total): weight before each range; few rows per group."""
+    """(groups, _range, _w, _start, _total): weight in and before each range; few rows per group."""
     w = W.partitionBy(*(groups or [F.lit(0)]))
     return (
         ranged.groupBy(*groups, "_range").agg(F.sum(weight).alias("_w"))
         .withColumn("_total", F.sum("_w").over(w))
         .withColumn("_start", F.sum("_w").over(w.orderBy("_range")) - F.col("_w"))
-        .drop("_w")
     )
 
 
@@ -120,7 +119,8 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: str, weight: Column
         return res.withColumn(total, F.sum(weight).over(W.partitionBy(*part))) if total else res
     df = settle(df.withColumn("_weight", weight))
     ranged = add_ranges(df, keys, order, tie, rows_per_task, biggest)
-    starts = _range_starts(ranged, keys, F.col("_weight"))
+    # written out, so that its true size decides on broadcasting it
+    starts = settle(_range_starts(ranged, keys, F.col("_weight")).drop("_w"))
     w = (W.partitionBy(*keys, "_range").orderBy(*_order_by(order, tie))
          .rowsBetween(W.unboundedPreceding, 0))
     inside = ranged.withColumn("_inside", F.sum("_weight").over(w))
@@ -152,8 +152,6 @@ def percentiles(df: DataFrame, value: str, probs: Mapping[str, float], groups: S
 
     ranged = add_ranges(rows, keys, "_v", None, rows_per_task, biggest)
     starts = _range_starts(ranged, keys, F.lit(1).cast("bigint"))
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
-    ends = join_on(starts, sizes, [*keys, "_range"])
 
     def rank(p: float) -> Column:
         return F.lit(p) * (F.col("_total") - 1).cast("double")
@@ -161,8 +159,10 @@ def percentiles(df: DataFrame, value: str, probs: Mapping[str, float], groups: S
     wanted = F.lit(False)
     for p in probs.values():
         for r in (F.floor(rank(p)), F.ceil(rank(p))):
-            wanted = wanted | ((F.col("_start") <= r) & (r < F.col("_start") + F.col("_size")))
-    targets = ends.where(wanted).drop("_size")
+            wanted = wanted | ((F.col("_start") <= r) & (r < F.col("_start") + F.col("_w")))
+    # at most two ranges per percentile and group; written out, so that its true
+    # size decides on broadcasting it, and all other rows end at the join
+    targets = settle(starts.where(wanted).drop("_w"))
     w = W.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranks = (
         join_on(ranged, targets, [*keys, "_range"])
