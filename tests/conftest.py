@@ -12,7 +12,8 @@ def spark():
 
     s = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-        spark__driver__memory="6g", spark__ui__showConsoleProgress="false")
+        spark__driver__memory="6g", spark__ui__showConsoleProgress="false",
+        spark__sql__maxMetadataStringLength="10000")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
