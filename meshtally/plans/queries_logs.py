@@ -544,13 +544,13 @@ def assoc_unpivot(spark, sf):
 
 @query("assoc_stats", f"""
 WITH {_ASSOC}, o AS (SELECT type, time - 1704000000 AS time FROM assoc)
-SELECT type, round(avg(time), 3) AS mean, round(stddev_pop(time), 3) AS std_dev, round(median(time), 3) AS median,
-  round(max(time), 3) AS max FROM o WHERE type IN ('dag', 'dao') GROUP BY type""")
+SELECT type, round(avg(time), 4) AS mean, round(stddev_pop(time), 4) AS std_dev, round(median(time), 4) AS median,
+  round(max(time), 4) AS max FROM o WHERE type IN ('dag', 'dao') GROUP BY type""")
 def assoc_stats(spark, sf):
     times = metrics.association_times(_joins(spark, sf), ["dag", "dao"])
     times = times.withColumn("time", F.col("time") - F.lit(1704000000.0))
     s = metrics.association_stats(times, ["type"])
-    return s.select("type", *[F.round(c, 3).alias(c) for c in ("mean", "std_dev", "median", "max")])
+    return s.select("type", *[F.round(c, 4).alias(c) for c in ("mean", "std_dev", "median", "max")])
 
 
 @query("assoc_stats_op", f"""

@@ -280,7 +280,7 @@ def fitted_cdf(spark, sf):
 
 
 @query("kde", """
-WITH v AS (SELECT CAST(k % 7 AS INTEGER) AS grp, value FROM (SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, value FROM events)),
+WITH v AS (SELECT CAST(k % 7 AS INTEGER) AS grp, value FROM (SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, floor(value * 4) / 4 AS value FROM events)),
 s AS (SELECT grp, count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) * pow(count(*), -0.2::DOUBLE) AS h FROM v WHERE grp BETWEEN 1 AND 4 GROUP BY 1),
 g AS (SELECT *, CAST(unnest(range(100)) AS INTEGER) AS i FROM s),
 x AS (SELECT *, lo + i * ((hi - lo) / 99) AS x FROM g)

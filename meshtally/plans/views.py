@@ -17,7 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def plog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per event with the fields of an sdn line."""
+    """One row per event with the fields of an sdn line.
+
+    The clock ticks in ms and values come in quarters: sums of either are exact
+    in any order.
+    """
     e = table(spark, sf_dir, "events")
     g = F.expr("event_id div 8")
     even = F.col("pkt") % 2 == 0
@@ -26,8 +30,9 @@ def plog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         e.select(
             "event_id", F.expr("event_id div 4").alias("pkt"), g.alias("g"),
-            F.unix_micros(F.col("ts").cast("timestamp")).alias("time"),
-            F.col("user_id").cast("int").alias("node"), "event_type", "value",
+            (F.unix_millis(F.col("ts").cast("timestamp")) * 1000).alias("time"),
+            F.col("user_id").cast("int").alias("node"), "event_type",
+            (F.floor(F.col("value") * 4) / 4.0).alias("value"),
             F.get_json_object("props", "$.k").cast("int").alias("k"))
         .select(
             "*",
@@ -44,8 +49,8 @@ def plog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLOG = """
 e AS (
-  SELECT event_id, event_id // 4 AS pkt, event_id // 8 AS g, epoch_us(ts) AS time,
-         CAST(user_id AS INTEGER) AS node, event_type, value,
+  SELECT event_id, event_id // 4 AS pkt, event_id // 8 AS g, epoch_us(ts) // 1000 * 1000 AS time,
+         CAST(user_id AS INTEGER) AS node, event_type, floor(value * 4) / 4 AS value,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k
   FROM events),
 plog AS (
