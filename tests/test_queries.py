@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as driver  # noqa: E402
+from meshtally.plans import registered  # noqa: E402
 from tools.check_queries import connect, differences, duck_rows, spark_rows  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -19,20 +20,19 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(registered.QUERIES))
 def test_same_rows_as_sql(spark, duck, name):
-    df = driver.queries()[name](spark, SF)
+    df = registered.QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
         assert operator not in plan
     got = spark_rows(df)
     assert got[1], name
-    if name in driver.oracle_sql():
-        assert differences(got, duck_rows(duck, driver.oracle_sql()[name])) is None
+    assert differences(got, duck_rows(duck, registered.SQL[name])) is None
 
 
 def test_every_query_has_sql():
-    assert set(driver.oracle_sql()) == set(driver.queries())
+    assert set(registered.SQL) == set(registered.QUERIES) <= set(driver.queries())
 
 
 def test_entry(spark):
