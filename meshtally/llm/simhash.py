@@ -4,8 +4,9 @@ A tree of vantage points (fingerprints of a bounded sample) cuts Hamming space
 into shards: at each node the near half holds what lies within the node's
 radius, the far half the rest. A fingerprint has one home shard, and by the triangle
 inequality it is also a query in each shard whose boundary lies within ``bits``
-of it. Inside a shard the members are sorted by their distance to one more
-vantage point, so that a query compares only with the ring it can reach.
+of it. Inside a shard the members lie in cells of equal distances to two more
+vantage points, and a query compares only with the cells it can reach. Shards
+are large, as the tree's upper levels send each query to many of them.
 
 The sample only shapes the tree: every fingerprint is placed and every pair
 within ``bits`` is found, whatever the sample was. Shards that hold more than
@@ -132,22 +133,28 @@ def link_within(members: np.ndarray, queries: np.ndarray, bits: int, among: bool
                 up = above
 
     if n:
-        dist = np.bitwise_count(members ^ members[0]).astype(np.int64)
-        order = np.argsort(dist, kind="stable")
-        starts = np.searchsorted(dist[order], np.arange(-bits, 67 + bits))
+        # cells of equal distances to two vantage points; partners lie at most ``bits`` cells away in each
+        far = members[np.argmax(np.abs(np.bitwise_count(members ^ members[0]).astype(np.int64) - 32) < 2)]
+        cell = np.bitwise_count(items ^ members[0]).astype(np.int64) * 65 + np.bitwise_count(items ^ far)
+        order = np.argsort(cell[:n], kind="stable")
+        starts = np.searchsorted(cell[:n][order], np.arange(65 * 65 + 1))
         probes = np.arange(0 if among else n, len(items))
-        at = np.bitwise_count(items[probes] ^ members[0])
-        for d in np.unique(at).astype(int).tolist():
-            own = probes[at == d]
-            ring = order[starts[d]:starts[d + 2 * bits + 1]]
+        probes = probes[np.argsort(cell[probes], kind="stable")]
+        kinds, first = np.unique(cell[probes], return_index=True)
+        for c, own in zip(kinds.tolist(), np.split(probes, first[1:])):
+            x, y = divmod(c, 65)
+            ring = np.concatenate([
+                order[starts[r * 65 + max(0, y - bits)]:starts[r * 65 + min(64, y + bits) + 1]]
+                for r in range(max(0, x - bits), min(64, x + bits) + 1)])
             step = max(1, (1 << 19) // max(1, len(ring)))
+            held = items[ring]
             for i in range(0, len(own), step):
-                q, t = np.nonzero(np.bitwise_count(items[own[i:i + step], None] ^ items[None, ring]) <= bits)
+                q, t = np.nonzero(np.bitwise_count(items[own[i:i + step], None] ^ held) <= bits)
                 link(own[i + q], ring[t])
     return np.concatenate(links) if links else np.zeros((0, 2), np.uint64)
 
 
-def near_links(prints: DataFrame, bits: int = 4, block: int = 4096, sample: int = 20_000,
+def near_links(prints: DataFrame, bits: int = 4, block: int = 32_768, sample: int = 20_000,
                most_shards: int = 4096) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) at most ``bits`` apart.
 
@@ -193,7 +200,7 @@ def near_links(prints: DataFrame, bits: int = 4, block: int = 4096, sample: int
     return members.unionByName(queries).groupBy("shard", "i", "j").applyInArrow(solve, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, bits: int = 4, block: int = 4096,
+def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, bits: int = 4, block: int = 32_768,
                     carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *carry, fp, component_id) per row of ``docs`` (doc_id, text; other columns are ignored).
 
