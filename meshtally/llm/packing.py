@@ -102,13 +102,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1) -> D
         run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 
 
-def sum_of_squares(counts: dict[int, int], size: int = 4096, steps: int = 64) -> list[tuple[int, int, int, int, int]]:
+def sum_of_squares(counts: dict[int, int], size: int = 4096, share: int = 8) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, how many, first sequence, offset) that place every piece.
 
     Longest first, each piece goes to the open bin, or a new one, that leaves the sum over the
-    gaps of squared counts of open bins smallest; of equal choices the fullest bin. Up to
-    ``steps`` pieces of a length are placed one by one, more in up to ``steps`` equal parts, so
-    the work is bounded by ``size`` * ``steps`` however many pieces there are.
+    gaps of squared counts of open bins smallest; of equal choices the fullest bin. Of many
+    pieces of one length, an ``share``-th of those left is placed at a time, the last ones one
+    by one: the steps for a length grow with the logarithm of its count.
     """
     open_bins: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # by gap: (first sequence, how many)
     n = np.zeros(size + 1, np.int64)
@@ -116,9 +116,8 @@ def sum_of_squares(counts: dict[int, int], size: int = 4096, steps: int = 64) ->
     new = 0
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
-        part = -(-left // steps)
         while left:
-            take = min(part, left)
+            take = max(1, left // share)
             # a bin with gap g gets gap g - length; full bins and g = size (a new bin) are not counted
             gain = 2 * (np.concatenate(([0], n[1:size - length + 1])) - n[length:]) + 2
             gain[0] -= 1
