@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshtally.llm import decontaminate, packing, sharding, simhash
+from meshtally.llm import decontaminate, packing, sharding, simhash, tokens
 from meshtally.llm.common import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer, size=4096, end=1)[0]
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer, limit=512)
