@@ -10,6 +10,8 @@ their length, in parallel, and each takes the place of its number.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,18 +22,22 @@ from pyspark.sql import functions as F
 
 from meshtally.session import settle
 
-CACHE = 400_000  # words a worker remembers
-MARKS = ".,!?;:#%&*$|"  # split off by the tokenizer, one run at a time
+CACHE = 500_000  # words, and parts of words, that a worker remembers
+MARKS = ".,!?;:#%&*$|"
+# A capital that becomes two characters, and where readings of "white space" or letters differ.
+_ODD = re.compile("[\u0130\u0250-\U0010ffff\x1c-\x1f\x85]")
 
 _tokenizers: dict[str, "Words"] = {}
 
 
 class Words:
-    """Token ids of white-space separated words, as the tokenizer file gives them, remembered.
+    """Token ids of words as the tokenizer file gives them, remembered.
 
-    The tokenizers used here never merge across a space or line feed, so a text's ids are its words'
-    ids one after the other. Words of letters up to U+024F are looked up in lower case,
-    apart from the marks that follow them, which the tokenizer cuts off as well.
+    The tokenizer lowers case, drops white space and never merges across it, nor across the
+    border between letters and marks; so a text's ids are its words' and marks' ids one after
+    the other. That is used for texts up to U+024F without control characters that readings of
+    "white space" differ on; other texts are split at spaces and line feeds only, and special
+    strings stay whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,7 +45,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
 
     @classmethod
     def at(cls, path: str) -> Words:
@@ -47,30 +54,36 @@ class Words:
             _tokenizers[path] = cls(path)
         return _tokenizers[path]
 
-    def _learn(self, words: list[str]) -> None:
-        if words:
-            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
+    def _learn(self, words: set[str]) -> None:
+        """Ids of new words: of their letters and marks where they are just that, else as a whole."""
+        if len(self.cores) > CACHE:
+            self.cores = {"": b""}
+        parted = {}
+        for w in words:
+            core = w.rstrip(MARKS)
+            parted[w] = (core, w[len(core):]) if core.isalpha() and not _ODD.search(core) else (w, "")
+        new = list({part for pair in parted.values() for part in pair}.difference(self.cores))
+        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.cores[part] = array("I", e.ids).tobytes()
+        for w, (core, tail) in parted.items():
+            self.words[w] = self.cores[core] + self.cores[tail]
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.seen) > CACHE:
-            self.seen = {"": b""}
-        seen = self.seen
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in seen}
-        cores: dict[str, tuple[str, str]] = {}
-        for w in new:
-            core = w.rstrip(MARKS)
-            if core and core.isalpha() and max(core) < "ɐ":
-                cores[w] = core.lower(), w[len(core):]
-        self._learn(list({w for w in new if w not in cores}
-                         | {part for pair in cores.values() for part in pair if part not in seen}))
-        for w, (core, tail) in cores.items():
-            if w not in seen:
-                seen[w] = seen[core] + seen[tail]
+        if len(self.words) > CACHE:
+            self.words = {"": b""}
+        split, new = [], set()
+        for text in texts:
+            text = text or ""
+            if _ODD.search(text) or "<|" in text:
+                words = text.replace("\n", " ").split(" ")
+            else:
+                words = text.lower().split()
+            split.append(words)
+            new.update(set(words).difference(self.words))
+        self._learn(new)
         for words in split:
-            yield b"".join(map(seen.__getitem__, words))
+            yield b"".join(map(self.words.__getitem__, words))
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1) -> DataFrame:

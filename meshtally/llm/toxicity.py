@@ -80,12 +80,12 @@ def solve(rows: list[np.ndarray], grades: np.ndarray, width: int, steps: int = 4
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, limit: int = 8000,
-        vocabulary: int = 8192, least: int = 3) -> Model:
+        vocabulary: int = 8192, least: int = 3, sure: float = 6.0) -> Model:
     """Learn from ``labels`` (doc_id, toxic) and ``docs`` (doc_id, text), leaving out the held fold.
 
     About ``limit`` toxic and as many other labelled texts, twice that at most. The
-    ``vocabulary`` words whose shares among the two differ most, in standard errors, and that
-    ``least`` texts or more hold, are features. An id marked both ways counts as toxic.
+    ``vocabulary`` words whose shares among the two differ most, by ``sure`` standard errors or
+    more, and that ``least`` texts or more hold, are features. An id marked both ways counts as toxic.
     """
     marks = labels.where((remainder("doc_id", folds) != held) & F.col("doc_id").isNotNull()
                          & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -106,8 +106,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, limit
         F.count(F.lit(1)).alias("all"), F.sum("toxic").alias("bad")).where(F.col("all") >= least)
     bad, good = F.col("bad") / max(1, n[1]), (F.col("all") - F.col("bad")) / max(1, n[0])
     mean = F.col("all") / max(1, n[0] + n[1])
-    z = F.abs(bad - good) / F.sqrt(mean * (1.0001 - mean))
-    chosen = counts.select("word", "all", "bad", z.alias("z")).orderBy(F.desc("z"), "word").limit(vocabulary).collect()
+    z = F.abs(bad - good) / F.sqrt(mean * (1.0001 - mean) * (1 / max(1, n[0]) + 1 / max(1, n[1])))
+    chosen = counts.select("word", "all", "bad", z.alias("z")).where(F.col("z") >= sure).orderBy(
+        F.desc("z"), "word").limit(vocabulary).collect()
     index = {r["word"]: i for i, r in enumerate(chosen)}
     marking = np.array([r["bad"] / max(1, n[1]) > 20 * (r["all"] - r["bad"] + 0.5) / max(1, n[0]) for r in chosen])
 
