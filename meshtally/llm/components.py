@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,29 @@ class Forest:
         return True
 
 
+class Links:
+    """Union-find over numbered items of one task, in whole arrays; keeps the links that joined something."""
+
+    def __init__(self, n: int) -> None:
+        self.up = np.arange(n)
+        self.kept: list[np.ndarray] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            ra, rb = self.up[a], self.up[b]
+            differ = ra != rb
+            a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+            # of the links that join one tree to a lower one, the first is enough for now
+            tops, first = np.unique(np.maximum(ra, rb), return_index=True)
+            self.up[tops] = np.minimum(ra, rb)[first]
+            self.kept.append(np.stack((a[first], b[first]), 1))
+            while not np.array_equal(self.up, above := self.up[self.up]):
+                self.up = above
+
+    def pairs(self) -> np.ndarray:
+        return np.concatenate(self.kept) if self.kept else np.zeros((0, 2), np.int64)
+
+
 def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task, one edge to the root for each linked node.
 

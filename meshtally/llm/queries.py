@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshtally.llm import decontaminate, language, packing, quality, sharding, simhash, tokens, toxicity
+from meshtally.llm import decontaminate, language, neighbours, packing, quality, sharding, simhash, tokens, toxicity
 from meshtally.llm.common import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_neighbours")
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"), link=0.98).rows

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from meshtally.llm.common import arrow_map, bounded, free_name
-from meshtally.llm.components import components
+from meshtally.llm.components import Links, components
 from meshtally.session import settle
 
 SHINGLES_AT_ONCE = 1 << 16
@@ -116,22 +116,7 @@ def link_within(members: np.ndarray, queries: np.ndarray, bits: int, among: bool
     """Spanning links (n, 2) at most ``bits`` apart: of queries with members, and ``among`` members."""
     items = np.concatenate((members, queries))
     n = len(members)
-    up = np.arange(len(items))
-    links = []
-
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal up
-        while len(a):
-            ra, rb = up[a], up[b]
-            differ = ra != rb
-            a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-            # of the links that join one tree to a lower one, the first is enough for now
-            tops, first = np.unique(np.maximum(ra, rb), return_index=True)
-            up[tops] = np.minimum(ra, rb)[first]
-            links.append(np.stack((items[a[first]], items[b[first]]), 1))
-            while not np.array_equal(up, above := up[up]):
-                up = above
-
+    links = Links(len(items))
     if n:
         # cells of equal distances to two vantage points; partners lie at most ``bits`` cells away in each
         far = members[np.argmax(np.abs(np.bitwise_count(members ^ members[0]).astype(np.int64) - 32) < 2)]
@@ -150,8 +135,8 @@ def link_within(members: np.ndarray, queries: np.ndarray, bits: int, among: bool
             held = items[ring]
             for i in range(0, len(own), step):
                 q, t = np.nonzero(np.bitwise_count(items[own[i:i + step], None] ^ held) <= bits)
-                link(own[i + q], ring[t])
-    return np.concatenate(links) if links else np.zeros((0, 2), np.uint64)
+                links.add(own[i + q], ring[t])
+    return items[links.pairs()]
 
 
 def near_links(prints: DataFrame, bits: int = 4, block: int = 32_768, sample: int = 20_000,
