@@ -267,9 +267,10 @@ def exact_links(asked: DataFrame, nodes: DataFrame, link: float) -> DataFrame:
         links = Links(len(ids))
         total = np.zeros(n, np.int64)
         for at in range(0, n, 256):
-            hit = x[at:at + 256] @ x[n:].T >= link
-            hit &= ids[at:at + 256, None] != ids[None, n:]
-            total[at:at + 256] = hit @ weight[n:]
+            to = min(n, at + 256)
+            hit = x[at:to] @ x[n:].T >= link
+            hit &= ids[at:to, None] != ids[None, n:]
+            total[at:to] = np.rint(hit.astype(np.float64) @ weight[n:].astype(np.float64))
             q, t = np.nonzero(hit)
             links.add(q + at, item[t])
         pairs = ids[links.pairs()]
