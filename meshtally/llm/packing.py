@@ -13,6 +13,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,9 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {"": b""}
 
@@ -62,12 +66,24 @@ class Words:
         for w in words:
             core = w.rstrip(MARKS)
             parted[w] = (core, w[len(core):]) if core.isalpha() and not _ODD.search(core) else (w, "")
-        new = list({part for pair in parted.values() for part in pair}.difference(self.cores))
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        new = {part for pair in parted.values() for part in pair}.difference(self.cores)
+        letters = [part for part in new if part.isalpha() and not _ODD.search(part)]
+        for at in range(0, len(letters), 256):
+            self._learn_letters(letters[at:at + 256])
+        rest = list(new.difference(self.cores))
+        for part, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.cores[part] = array("I", e.ids).tobytes()
         for w, (core, tail) in parted.items():
             self.words[w] = self.cores[core] + self.cores[tail]
 
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters, read in one go: each ends with the one id that closes a word."""
+        own = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.closes[own]) + 1) * 4
+        if len(ends) == len(words):
+            data = own.tobytes()
+            self.cores.update(zip(words, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
+
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.words) > CACHE:
@@ -80,7 +96,7 @@ class Words:
             else:
                 words = text.lower().split()
             split.append(words)
-            new.update(set(words).difference(self.words))
+            new.update(filterfalse(self.words.__contains__, words))
         self._learn(new)
         for words in split:
             yield b"".join(map(self.words.__getitem__, words))
