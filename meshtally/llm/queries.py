@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshtally.llm import decontaminate, language, neighbours, packing, quality, sharding, simhash, tokens, toxicity
+from meshtally.llm import decontaminate, language, neighbours, packing, quality, sharding, simhash, tokens, toxicity, warc
 from meshtally.llm.common import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_neighbours")
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_vectors(table(spark, sf_dir, "embeddings"), link=0.98).rows
+
+
+@query("op1_warc", """
+    WITH p AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+        FROM pages),
+    h AS (SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id < head THEN head END AS refers_to
+    FROM p LEFT JOIN h USING (payload_digest)
+""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
