@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshtally.functions.maths import delivery_ratio, receive_ratio
 from meshtally.functions.packets import millis_to_seconds
-from meshtally.operators.ranks import ROWS_PER_TASK, join_on, last_value, modes, percentiles
+from meshtally.operators.ranks import join_on, last_value, modes, percentiles
 from meshtally.session import settle
 
 # Aggregates that a run description may name.
@@ -238,12 +238,12 @@ def association_times(df: DataFrame, types: Sequence[str] | None = None, by: Seq
     return df.select(*by, "type", "id", "time")
 
 
-def association_stats(times: DataFrame, groups: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def association_stats(times: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Mean, population deviation, median and maximum of the times."""
     keys = list(groups)
     basic = times.groupBy(*keys).agg(
         F.avg("time").alias("mean"), F.stddev_pop("time").alias("std_dev"), F.max("time").alias("max"))
-    middle = percentiles(times, "time", {"median": 0.5}, keys, rows_per_task)
+    middle = percentiles(times, "time", {"median": 0.5}, keys)
     return join_on(basic, middle, keys, "left").select(*keys, "mean", "std_dev", "median", "max")
 
 

@@ -1,12 +1,12 @@
 """Exact order statistics and running sums for groups of any size.
 
-Built-in exact percentiles keep every distinct value of a group in one task's
-memory, and an ordered window sorts a whole group in one task. Both are fine up
-to ``ROWS_PER_TASK`` rows per group, which is checked first. Beyond it a group
-is cut into value ranges of about that many rows: each range is counted and
-sorted on its own, and the counts of the ranges before it are added.
+Spark's range partitioner lays the rows out by (group, order): it draws its bounds
+from a bounded sample, takes any type that can be ordered, and cuts inside a
+group. The layout is written once with its partition numbers; then every
+partition is summed by itself and the sums of the partitions before it are added. So
+no task sees more of a group than one partition, and there is one way for all sizes.
 
-These functions read their input more than once: settle a costly one first.
+Percentiles work on counts of distinct values, which are combined before any shuffle.
 """
 
 from __future__ import annotations
@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from meshtally.session import settle
 
-ROWS_PER_TASK = 1_000_000
-MAX_RANGES = 4096
-
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on same-named keys where NULL meets NULL; keys come from the left.
@@ -35,12 +32,6 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def largest_group(df: DataFrame, groups: Sequence[str]) -> int:
-    """Rows of the biggest group: one count, combined before the shuffle."""
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n")).first()[0] or 0
-
-
 def _present(df: DataFrame, value: str) -> DataFrame:
     keep = F.col(value).isNotNull()
     if dict(df.dtypes)[value] in ("double", "float"):
@@ -48,134 +39,65 @@ def _present(df: DataFrame, value: str) -> DataFrame:
     return df.where(keep)
 
 
-def _bisect(splits: Column, count: int, below: callable) -> Column:
-    """How many of the sorted splits satisfy ``below``; ``count`` + 1 is a power of 2."""
-    steps, step = [], (count + 1) // 2
-    while step:
-        steps.append(step)
-        step //= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0),
-        lambda at, s: F.when(below(F.get(splits, at + s - F.lit(1))), at + s).otherwise(at))
-
-
-def add_ranges(df: DataFrame, groups: Sequence[str], order: str, tie: str | None = None,
-               rows_per_task: int = ROWS_PER_TASK, biggest: int | None = None) -> DataFrame:
-    """Add ``_range``: ranges of a group follow its order and hold similar numbers of rows.
-
-    With ``tie``, rows of one repeated value are spread by the hash of ``tie``
-    over the ranges that value fills; then the order is (order, hash, tie).
-    The split points are written out, so each use sees the same ones.
-    """
-    biggest = largest_group(df, groups) if biggest is None else biggest
-    ranges = 2
-    while ranges < MAX_RANGES and ranges * rows_per_task < biggest:
-        ranges *= 2
-    points = [i / ranges for i in range(1, ranges)]
-    splits = settle(
-        df.groupBy(*groups).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile_approx(F.col(order).cast("double"), points, max(10_000, 20 * ranges)).alias("_splits"))
-        .where(F.col("_n") > rows_per_task).drop("_n"))
-    out = join_on(df, splits, groups, "left")
-    v = F.col(order).cast("double")
-    at = _bisect(F.col("_splits"), ranges - 1, lambda s: s < v)
-    if tie is not None:
-        last = _bisect(F.col("_splits"), ranges - 1, lambda s: s <= v)
-        share = F.pmod(F.xxhash64(tie), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        at = at + F.floor(share * (last - at + 1)).cast("int")
-    return out.withColumn("_range", F.coalesce(at, F.lit(0))).drop("_splits")
-
-
-def _range_starts(ranged: DataFrame, groups: Sequence[str], weight: Column) -> DataFrame:
-    """(groups, _range, _w, _start, _total): weight in and before each range; few rows per group."""
-    w = W.partitionBy(*(groups or [F.lit(0)]))
-    return (
-        ranged.groupBy(*groups, "_range").agg(F.sum(weight).alias("_w"))
-        .withColumn("_total", F.sum("_w").over(w))
-        .withColumn("_start", F.sum("_w").over(w.orderBy("_range")) - F.col("_w"))
-    )
-
-
-def _order_by(order: str, tie: str | None) -> list[Column]:
-    if tie is None:
-        return [F.col(order)]
-    return [F.col(order), F.pmod(F.xxhash64(tie), F.lit(1 << 20)), F.col(tie)]
-
-
 def running_sum(df: DataFrame, groups: Sequence[str], order: str, weight: Column, tie: str | None = None,
-                out: str = "running", total: str | None = None,
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                out: str = "running", total: str | None = None) -> DataFrame:
     """Add the running sum of ``weight`` in the order of (``order``, ``tie``), own row included.
 
-    Without ``tie`` the values of ``order`` must be distinct within a group.
+    Without ``tie`` the values of ``order`` must be distinct within a group. ``df`` is
+    read twice, once for the partitioner's sample.
     """
-    biggest = largest_group(df, groups)
-    keys = list(groups)
-    if biggest <= rows_per_task:
-        part = keys or [F.lit(0)]
-        w = W.partitionBy(*part).orderBy(*_order_by(order, tie)).rowsBetween(W.unboundedPreceding, 0)
-        res = df.withColumn(out, F.sum(weight).over(w))
-        return res.withColumn(total, F.sum(weight).over(W.partitionBy(*part))) if total else res
-    df = settle(df.withColumn("_weight", weight))
-    ranged = add_ranges(df, keys, order, tie, rows_per_task, biggest)
-    # written out, so that its true size decides on broadcasting it
-    starts = settle(_range_starts(ranged, keys, F.col("_weight")).drop("_w"))
-    w = (W.partitionBy(*keys, "_range").orderBy(*_order_by(order, tie))
-         .rowsBetween(W.unboundedPreceding, 0))
-    inside = ranged.withColumn("_inside", F.sum("_weight").over(w))
-    res = join_on(inside, starts, [*keys, "_range"]).withColumn(out, F.col("_inside") + F.col("_start"))
+    keys, by = list(groups), [order] + ([tie] if tie else [])
+    # both uses below must see the same cut: it is written out with its numbers
+    laid = settle(df.withColumn("_weight", weight).repartitionByRange(*keys, *by)
+                  .withColumn("_part", F.spark_partition_id()))
+    one = W.partitionBy(*(keys or [F.lit(0)]))  # a row per partition that holds a part of the group
+    starts = laid.groupBy(*keys, "_part").agg(F.sum("_weight").alias("_w")).select(
+        *keys, "_part", (F.sum("_w").over(one.orderBy("_part")) - F.col("_w")).alias("_start"),
+        F.sum("_w").over(one).alias("_total"))
+    inside = W.partitionBy(*keys, "_part").orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
+    summed = laid.withColumn("_inside", F.sum("_weight").over(inside))
+    res = join_on(summed, starts, [*keys, "_part"]).withColumn(out, F.col("_inside") + F.col("_start"))
     if total:
         res = res.withColumn(total, F.col("_total"))
-    return res.drop("_inside", "_start", "_total", "_range", "_weight")
+    return res.drop("_inside", "_start", "_total", "_part", "_weight")
 
 
-def numbered(df: DataFrame, groups: Sequence[str], order: str, tie: str, out: str = "pos",
-             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Number the rows of each group from 0 in the order of (``order``, hash of ``tie``, ``tie``)."""
-    counted = running_sum(df, groups, order, F.lit(1).cast("bigint"), tie, out, None, rows_per_task)
+def numbered(df: DataFrame, groups: Sequence[str], order: str, tie: str, out: str = "pos") -> DataFrame:
+    """Number the rows of each group from 0 in the order of (``order``, ``tie``)."""
+    counted = running_sum(df, groups, order, F.lit(1).cast("bigint"), tie, out)
     return counted.withColumn(out, F.col(out) - 1)
 
 
-def percentiles(df: DataFrame, value: str, probs: Mapping[str, float], groups: Sequence[str] = (),
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per group.
-
-    ``probs`` maps output names to shares in 0..1. NULL and NaN are left out.
-    For big groups only the ranges that hold a wanted rank are shuffled.
-    """
+def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, value, n) per distinct value, written out; NULL and NaN are left out."""
     keys = list(groups)
-    rows = _present(df.select(*keys, F.col(value).alias("_v")), "_v")
-    biggest = largest_group(rows, keys)
-    if biggest <= rows_per_task:
-        return rows.groupBy(*keys).agg(*[F.percentile("_v", F.lit(p)).alias(n) for n, p in probs.items()])
+    return settle(_present(df.select(*keys, value), value).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
+
+
+def shares(counts: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Counts with ``upto``, the rows at or below a value, and ``total``."""
+    return running_sum(counts, groups, value, F.col("n"), None, "upto", "total")
+
 
-    ranged = add_ranges(rows, keys, "_v", None, rows_per_task, biggest)
-    starts = _range_starts(ranged, keys, F.lit(1).cast("bigint"))
+def value_shares(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, value, n, upto, total) per distinct value: rows at or below it."""
+    return shares(value_counts(df, value, groups), value, groups)
+
+
+def percentiles_of_counts(counts: DataFrame, value: str, probs: Mapping[str, float],
+                          groups: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles of counted values (``value``, ``n``) with linear interpolation, one row per group."""
+    keys = list(groups)
+    first = F.col("upto") - F.col("n")
 
     def rank(p: float) -> Column:
-        return F.lit(p) * (F.col("_total") - 1).cast("double")
-
-    wanted = F.lit(False)
-    for p in probs.values():
-        for r in (F.floor(rank(p)), F.ceil(rank(p))):
-            wanted = wanted | ((F.col("_start") <= r) & (r < F.col("_start") + F.col("_w")))
-    # at most two ranges per percentile and group; written out, so that its true
-    # size decides on broadcasting it, and all other rows end at the join
-    targets = settle(starts.where(wanted).drop("_w"))
-    w = W.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranks = (
-        join_on(ranged, targets, [*keys, "_range"])
-        .groupBy(*keys, "_range", "_v", "_start", "_total").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(w) + F.col("_start"))
-        .withColumn("_from", F.col("_upto") - F.col("_n"))
-    )
+        return F.lit(p) * (F.col("total") - 1).cast("double")
 
     def value_at(r: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= r) & (r < F.col("_upto")), F.col("_v").cast("double")))
+        return F.max(F.when((first <= r) & (r < F.col("upto")), F.col(value).cast("double")))
 
-    picked = ranks.groupBy(*keys).agg(
-        F.first("_total").alias("_total"),
+    picked = shares(counts, value, keys).groupBy(*keys).agg(
+        F.max("total").alias("total"),
         *[c for i, p in enumerate(probs.values())
           for c in (value_at(F.floor(rank(p))).alias(f"_lo{i}"), value_at(F.ceil(rank(p))).alias(f"_hi{i}"))])
     return picked.select(*keys, *[
@@ -183,12 +105,12 @@ def percentiles(df: DataFrame, value: str, probs: Mapping[str, float], groups: S
         for i, (n, p) in enumerate(probs.items())])
 
 
-def value_shares(df: DataFrame, value: str, groups: Sequence[str] = (),
-                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """(groups, value, n, upto, total) per distinct value: rows at or below it."""
-    keys = list(groups)
-    counts = _present(df.select(*keys, value), value).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    return running_sum(counts, keys, value, F.col("n"), None, "upto", "total", rows_per_task)
+def percentiles(df: DataFrame, value: str, probs: Mapping[str, float], groups: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per group.
+
+    ``probs`` maps output names to shares in 0..1. NULL and NaN are left out.
+    """
+    return percentiles_of_counts(value_counts(df, value, groups), value, probs, groups)
 
 
 def modes(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -13,18 +13,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshtally.functions.maths import first_integer
-from meshtally.operators.ranks import ROWS_PER_TASK, join_on, modes, numbered, percentiles
+from meshtally.operators.ranks import join_on, modes, numbered, percentiles
 
 COLUMNS = ["run", "metric", "kind", "pos", "x", "x_num", "y", "err", "xlabel", "ylabel"]
 
 
 def to_series(df: DataFrame, run: str | Column, metric: str | Column, kind: str, x: str, y: str,
               xlabel: str = "", ylabel: str = "", err: str | None = None, pos: str | None = None,
-              rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+              number: bool = True) -> DataFrame:
     """Points from a metric table. Numeric x values are labelled as whole numbers.
 
     Points are numbered by x unless ``pos`` names their order. Numbering reads
-    ``df`` twice, so a costly one should be settled first.
+    ``df`` twice, so a costly one should be settled first; without ``number`` pos
+    stays NULL, for several series that ``number_points`` numbers at once.
     """
     numeric = dict(df.dtypes)[x] != "string"
     label = F.col(x).cast("bigint").cast("string") if numeric and kind == "bar" else F.col(x).cast("string")
@@ -36,15 +37,14 @@ def to_series(df: DataFrame, run: str | Column, metric: str | Column, kind: str,
         F.col(y).cast("double").alias("y"),
         (F.col(err) if err else F.lit(None)).cast("double").alias("err"),
         F.lit(xlabel).alias("xlabel"), F.lit(ylabel).alias("ylabel"),
-        *([F.col(pos).cast("int").alias("pos")] if pos else []))
-    if not pos:
-        if numeric:
-            out = numbered(out, ["run", "metric"], "x_num", "x", "pos", rows_per_task)
-        else:  # text labels: few, in their own order
-            w = W.partitionBy("run", "metric").orderBy("x")
-            out = out.withColumn("pos", F.row_number().over(w) - 1)
-        out = out.withColumn("pos", F.col("pos").cast("int"))
-    return out.select(*COLUMNS)
+        (F.col(pos) if pos else F.lit(None)).cast("bigint").alias("pos"))
+    return (out if pos or not number else number_points(out)).select(*COLUMNS)
+
+
+def number_points(series: DataFrame) -> DataFrame:
+    """Number the points of each series by x, numbers before texts, except where pos is given."""
+    return numbered(series, ["run", "metric"], "x_num", "x", "_n").withColumn(
+        "pos", F.coalesce("pos", "_n")).select(*COLUMNS)
 
 
 def lookup(series: DataFrame, runs: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -53,7 +53,7 @@ def lookup(series: DataFrame, runs: Sequence[str], metrics: Sequence[str]) -> Da
     Filters on run and metric are partition filters on a stored series table.
     """
     found = series.where(F.col("run").isin(list(runs)) & F.col("metric").isin(list(metrics)))
-    absent = missing(found, runs, metrics).limit(20).collect()
+    absent = missing(found, runs, metrics).collect()  # of the caller's own lists
     if absent:
         pairs = ", ".join(f"{r['metric']} of {r['run']}" for r in absent)
         raise LookupError(f"no stored series for: {pairs}")
@@ -120,13 +120,13 @@ def compare(series: DataFrame, runs: Sequence[str], metrics: Sequence[str], chec
     nothing = F.lit(None).cast("double")
     bar = join_on(aligned, order, ["metric", "x"]).select(
         "metric", F.lit("bar").alias("kind"), run_id().alias("id"), F.col("run").alias("label"),
-        F.col("pos").cast("bigint").alias("pos"), "x", "y", nothing.alias("err"))
+        "pos", "x", "y", nothing.alias("err"))
     line = concatenate(found.where(F.col("kind") == "line")).select(
         "metric", F.lit("line").alias("kind"), "id", F.col("run").alias("label"),
-        F.col("pos").cast("bigint").alias("pos"), "x", "y", "err")
+        "pos", "x", "y", "err")
     rest = found.where(~F.col("kind").isin("bar", "line")).select(
         "metric", "kind", run_id().alias("id"), F.col("run").alias("label"),
-        F.col("pos").cast("bigint").alias("pos"), "x", "y", "err")
+        "pos", "x", "y", "err")
     return bar.select(*shown).unionByName(line.select(*shown)).unionByName(rest.select(*shown))
 
 
@@ -136,12 +136,11 @@ def clip_labels(series: DataFrame, ylim: float, y: str = "y", out: str = "label"
     return series.withColumn(out, F.when(top > ylim, top.cast("bigint")))
 
 
-def summarise(series: DataFrame, keys: Sequence[str] = ("run", "metric"),
-              rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def summarise(series: DataFrame, keys: Sequence[str] = ("run", "metric")) -> DataFrame:
     """(keys, mean, median, mode) of y; the smallest value on mode ties."""
     keys = list(keys)
     means = series.groupBy(*keys).agg(F.avg("y").alias("mean"))
-    middle = percentiles(series, "y", {"median": 0.5}, keys, rows_per_task)
+    middle = percentiles(series, "y", {"median": 0.5}, keys)
     often = modes(series.where(F.col("y").isNotNull()), keys, ["y"]).withColumnRenamed("y", "mode")
     return join_on(join_on(means, middle, keys, "left"), often, keys, "left").select(*keys, "mean", "median", "mode")
 

@@ -9,16 +9,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshtally.functions.maths import normal_cdf
-from meshtally.operators.ranks import ROWS_PER_TASK, join_on, percentiles, running_sum, value_shares
+from meshtally.operators.ranks import join_on, percentiles_of_counts, running_sum, value_counts, value_shares
+from meshtally.session import settle
 
 
-def reject_outliers(df: DataFrame, value: str, m: float = 2.0, groups: Sequence[str] = (),
-                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keep rows with |value - median| / MAD below ``m``; all of them where the MAD is 0."""
-    center = percentiles(df, value, {"_median": 0.5}, groups, rows_per_task)
-    near = join_on(df, center, groups).withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
-    spread = percentiles(near, "_dev", {"_mad": 0.5}, groups, rows_per_task)
-    scored = join_on(near, spread, groups)
+def reject_outliers(df: DataFrame, value: str, m: float = 2.0, groups: Sequence[str] = ()) -> DataFrame:
+    """Keep rows with |value - median| / MAD below ``m``; all of them where the MAD is 0.
+
+    Median and MAD both come from one count of the distinct values; ``df`` is read once more for the filter.
+    """
+    keys = list(groups)
+    counts = value_counts(df, value, keys)
+    center = percentiles_of_counts(counts, value, {"_median": 0.5}, keys)
+
+    def distance(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
+
+    away = settle(distance(join_on(counts, center, keys)).groupBy(*keys, "_dev", "_median").agg(F.sum("n").alias("n")))
+    spread = percentiles_of_counts(away, "_dev", {"_mad": 0.5}, keys)
+    limits = settle(join_on(away.select(*keys, "_median").distinct(), spread, keys))
+    scored = distance(join_on(df, limits, keys))
     keep = (F.col("_mad") == 0) | (F.col("_dev") < F.lit(float(m)) * F.col("_mad"))
     return scored.where(keep).drop("_median", "_dev", "_mad")
 
@@ -38,9 +48,9 @@ def trim_extremes(df: DataFrame, id: str, k: int = 5) -> DataFrame:
     return df.where((F.col(id) > low.scalar()) & (F.col(id) < high.scalar()))
 
 
-def ecdf(df: DataFrame, value: str, groups: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def ecdf(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """(groups, x, y): share of the rows at or below each distinct value."""
-    shares = value_shares(df, value, groups, rows_per_task)
+    shares = value_shares(df, value, groups)
     return shares.select(*groups, F.col(value).alias("x"),
                          (F.col("upto").cast("double") / F.col("total")).alias("y"))
 
@@ -73,12 +83,11 @@ def cumulative_histogram(df: DataFrame, value: str, bins: int, groups: Sequence[
         "n", (upto.cast("double") / F.sum("n").over(part)).alias("y"))
 
 
-def fitted_cdf(df: DataFrame, value: str, groups: Sequence[str] = (), step: float = 0.1,
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def fitted_cdf(df: DataFrame, value: str, groups: Sequence[str] = (), step: float = 0.1) -> DataFrame:
     """(groups, i, x, y): normal curve fitted to the values, on the grid 0, step, ... below the maximum.
 
-    ``y`` is the running sum of the curve over its total. The grid is laid out
-    in blocks, so a long one never sits in a single array.
+    ``y`` is the running sum of the curve over its total. The grid is laid out in blocks
+    that are dealt to all tasks, so a long one is never made in one place.
     """
     keys, block = list(groups), 10_000
     fit = (
@@ -89,12 +98,12 @@ def fitted_cdf(df: DataFrame, value: str, groups: Sequence[str] = (), step: floa
     )
     last = F.col("_points") - 1
     blocks = fit.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / block).cast("bigint"))))
-    grid = blocks.withColumn("i", F.explode(F.sequence(
+    grid = blocks.repartition(*keys, "_b").withColumn("i", F.explode(F.sequence(
         F.col("_b") * block, F.least(last, F.col("_b") * block + (block - 1)))))
     x = F.col("i").cast("double") * F.lit(step)
     points = grid.select(*keys, "i", x.alias("x"),
                          normal_cdf(F.try_divide(x - F.col("_mu"), F.col("_sigma"))).alias("_p"))
-    summed = running_sum(points, keys, "i", F.col("_p"), None, "_upto", "_all", rows_per_task)
+    summed = running_sum(points, keys, "i", F.col("_p"), None, "_upto", "_all")
     return summed.select(*keys, "i", "x", F.try_divide("_upto", "_all").alias("y"))
 
 
@@ -105,12 +114,14 @@ def error_bars(series: DataFrame, keys: Sequence[str] = ("run", "metric"), y: st
     return join_on(series.drop(out), means, list(keys)).withColumn(out, err).drop("_mean")
 
 
-def box_stats(df: DataFrame, value: str, groups: Sequence[str] = (),
-              rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """(groups, q1, med, q3, whislo, whishi): quartiles and the last values within 1.5 IQR of them."""
+def box_stats(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, q1, med, q3, whislo, whishi): quartiles and the last values within 1.5 IQR of them.
+
+    All from one count of the distinct values.
+    """
     keys = list(groups)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    quartiles = percentiles(rows, "_x", {"q1": 0.25, "med": 0.5, "q3": 0.75}, keys, rows_per_task)
+    rows = value_counts(df.select(*keys, F.col(value).cast("double").alias("_x")), "_x", keys)
+    quartiles = percentiles_of_counts(rows, "_x", {"q1": 0.25, "med": 0.5, "q3": 0.75}, keys)
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
     placed = join_on(rows, quartiles, keys)
     inner = placed.groupBy(*keys, "q1", "med", "q3").agg(
@@ -128,23 +139,22 @@ def density(df: DataFrame, value: str, group: str, members: Sequence, points: in
     Equal values are counted first. A value only reaches the grid points where
     its kernel is not zero in double precision, so nothing is left out.
     """
-    rows = (
-        df.where(F.col(group).isin(list(members)) & F.col(value).isNotNull())
-        .groupBy(group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    shape = df.where(F.col(group).isin(list(members))).groupBy(group).agg(
-        F.count(value).alias("_total"), F.min(value).cast("double").alias("_min"),
-        F.max(value).cast("double").alias("_max"),
-        (F.stddev_samp(value) * F.pow(F.count(value).cast("double"), F.lit(-0.2))).alias("_h"),
-    ).where(F.col("_h") > 0)
+    rows = value_counts(df.where(F.col(group).isin(list(members))).select(
+        group, F.col(value).cast("double").alias("_v")), "_v", [group]).withColumnRenamed("n", "_n")
+    # two passes for the deviation, as the square of the mean may be far larger than it
+    mean = rows.groupBy(group).agg(F.sum("_n").alias("_total"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean"),
+                                   F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    off = (F.col("_v") - F.col("_mean")) * (F.col("_v") - F.col("_mean")) * F.col("_n")
+    shape = settle(join_on(rows, mean, [group]).groupBy(group, "_total", "_min", "_max").agg(
+        (F.sqrt(F.sum(off) / F.when(F.col("_total") > 1, F.col("_total") - 1))
+         * F.pow(F.col("_total").cast("double"), F.lit(-0.2))).alias("_h")).where(F.col("_h") > 0))
     shape = shape.withColumn("_step", (F.col("_max") - F.col("_min")) / F.lit(points - 1))
     reach = F.lit(39.0) * F.col("_h")
     first = F.greatest(F.lit(0), F.ceil((F.col("_v") - reach - F.col("_min")) / F.col("_step")).cast("int"))
     final = F.least(F.lit(points - 1), F.floor((F.col("_v") + reach - F.col("_min")) / F.col("_step")).cast("int"))
     x = F.col("_min") + F.col("i") * F.col("_step")
     z = (x - F.col("_v")) / F.col("_h")
-    # at most one row per listed group: bounded by the caller's list
-    near = rows.join(F.broadcast(shape), group).withColumn("i", F.explode(F.sequence(first, final)))
+    near = join_on(rows, shape, [group]).withColumn("i", F.explode(F.sequence(first, final)))
     sums = near.groupBy(group, "i").agg(F.sum(F.col("_n") * F.exp(z * z * F.lit(-0.5))).alias("_s"))
     every = shape.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     norm = F.col("_total") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi())

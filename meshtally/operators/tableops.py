@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshtally.operators.ranks import ROWS_PER_TASK, join_on, numbered
+from meshtally.operators.ranks import join_on, numbered
 
 
 def unique(df: DataFrame, *columns: str) -> DataFrame:
@@ -125,9 +125,8 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def occurrence_matrix(df: DataFrame, column: str, values: Sequence, value: str, order: str, tie: str,
-                      rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def occurrence_matrix(df: DataFrame, column: str, values: Sequence, value: str, order: str, tie: str) -> DataFrame:
     """(occurrence, one column per listed value): the n-th row of each value side by side."""
     rows = df.where(F.col(column).isin(list(values)))
-    at = numbered(rows, [column], order, tie, "occurrence", rows_per_task)
+    at = numbered(rows, [column], order, tie, "occurrence")
     return at.groupBy("occurrence").pivot(column, list(values)).agg(F.first(value))

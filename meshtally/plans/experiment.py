@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from meshtally.operators import metrics as M
 from meshtally.operators.formats import format_table
 from meshtally.operators.process import process
-from meshtally.operators.series import to_series
+from meshtally.operators.series import number_points, to_series
 from meshtally.operators.stats import error_bars, fitted_cdf
 from meshtally.session import settle
 from meshtally.sources.logs import scrape, scrape_once
@@ -134,8 +134,11 @@ def build_tables(lines: DataFrame, patterns: Sequence[str], steps: Mapping[str,
 
 
 def metric_series(name: str, tables: Tables, profile: str, arguments: Mapping | None = None,
-                  run: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """One metric as a series; its name is the ``file`` argument, else the metric's own."""
+                  run: str | None = None, by: Sequence[str] = (), number: bool = True) -> DataFrame:
+    """One metric as a series; its name is the ``file`` argument, else the metric's own.
+
+    Without ``number`` points that have no order of their own have no pos yet.
+    """
     if name not in METRICS:
         raise KeyError(f"no metric named {name!r}; known: {sorted(METRICS)}")
     metric = METRICS[name]
@@ -152,14 +155,14 @@ def metric_series(name: str, tables: Tables, profile: str, arguments: Mapping |
     if name == "latency" and "xlabel" in args:
         title = f"{args['xlabel']}_{title}"
     given = {t: tables[t] for t in {*needed, source}}
-    # the few points of a metric come from a whole log and are read several
-    # times from here on: worked out once, then kept
-    points = settle(metric.points(given[source], given, by, profile, **args))
+    points = metric.points(given[source], given, by, profile, **args)
+    if metric.errors or number and not metric.pos:
+        points = settle(points)  # the few points come from a whole log and are read more than once
     if metric.errors:
         points = error_bars(points, by)
     return to_series(
         points, F.col("run") if "run" in by else str(run), title, metric.kind, "x", "y",
-        metric.xlabel, metric.ylabel, "err" if metric.errors else None, metric.pos)
+        metric.xlabel, metric.ylabel, "err" if metric.errors else None, metric.pos, number)
 
 
 def analyse(lines: DataFrame, profile: str, patterns: Sequence[str], plots: Mapping[str, Mapping | None],
@@ -169,6 +172,7 @@ def analyse(lines: DataFrame, profile: str, patterns: Sequence[str], plots: Mapp
     tables = build_tables(lines, patterns, steps, by, store)
     series = None
     for name, arguments in plots.items():
-        part = metric_series(name, tables, profile, arguments, run, by)
+        part = metric_series(name, tables, profile, arguments, run, by, number=False)
         series = part if series is None else series.unionByName(part)
-    return tables, series
+    # the points of all metrics are worked out once, then numbered together
+    return tables, None if series is None else number_points(settle(series))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,7 @@ SETTINGS = {
 _RUNTIME = ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit")
 
 _own_scratch: dict[str, str] = {}
+_settled: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "meshtally", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,16 +48,28 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
+    """The cluster's shared folder; only in local mode, and where none is named, one that ends with the process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = tempfile.mkdtemp(prefix="meshtally-")
+        atexit.register(shutil.rmtree, _own_scratch[app], ignore_errors=True)
     return _own_scratch[app]
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the folders that ``settle`` wrote so far; results that still read them end with this."""
+    jvm = spark.sparkContext._jvm
+    for folder in _settled.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -64,4 +79,5 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = f"{scratch_dir(df.sparkSession)}/meshtally-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _settled.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

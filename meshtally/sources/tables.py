@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SERIES_SCHEMA = (
-    "run string, metric string, kind string, pos int, x string, x_num double, "
+    "run string, metric string, kind string, pos bigint, x string, x_num double, "
     "y double, err double, xlabel string, ylabel string"
 )
 METRICS_SCHEMA = "run string, name string, value double"

@@ -25,3 +25,11 @@ def rows():
         out = [tuple(r) for r in (df.select(*order) if order else df).collect()]
         return sorted(out, key=repr)
     return collect
+
+
+@pytest.fixture
+def shuffles(spark):
+    """Set the number of shuffle partitions for one test."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", n)
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -20,9 +22,10 @@ def skewed(spark):
 PROBS = {"p0": 0.0, "p10": 0.1, "q1": 0.25, "p33": 0.33, "med": 0.5, "p999": 0.999, "p1": 1.0}
 
 
-@pytest.mark.parametrize("limit", [10, 200, 1_000_000])
-def test_percentiles_are_exact(spark, limit):
-    got = {r["g"]: r for r in ranks.percentiles(skewed(spark), "v", PROBS, ["g"], limit).collect()}
+@pytest.mark.parametrize("parts", [1, 40])
+def test_percentiles_are_exact(spark, shuffles, parts):
+    shuffles(parts)
+    got = {r["g"]: r for r in ranks.percentiles(skewed(spark), "v", PROBS, ["g"]).collect()}
     pdf = skewed(spark).toPandas().dropna(subset=["v"])
     for g in ("a", "b", None):
         x = pdf[pdf.g.isna() if g is None else pdf.g == g].v.to_numpy()
@@ -30,15 +33,17 @@ def test_percentiles_are_exact(spark, limit):
             assert got[g][name] == pytest.approx(np.quantile(x, p), rel=1e-12), (g, name)
 
 
-@pytest.mark.parametrize("limit", [50, 1_000_000])
-def test_percentiles_without_groups(spark, limit):
-    row = ranks.percentiles(skewed(spark), "v", {"med": 0.5}, (), limit).first()
+@pytest.mark.parametrize("parts", [1, 40])
+def test_percentiles_without_groups(spark, shuffles, parts):
+    shuffles(parts)
+    row = ranks.percentiles(skewed(spark), "v", {"med": 0.5}).first()
     assert row["med"] == skewed(spark).toPandas().v.median()
 
 
-@pytest.mark.parametrize("limit", [10, 300, 1_000_000])
-def test_value_shares(spark, limit):
-    got = ranks.value_shares(skewed(spark), "v", ["g"], limit).toPandas()
+@pytest.mark.parametrize("parts", [1, 40])
+def test_value_shares(spark, shuffles, parts):
+    shuffles(parts)
+    got = ranks.value_shares(skewed(spark), "v", ["g"]).toPandas()
     pdf = skewed(spark).toPandas().dropna(subset=["v"])
     b = pdf[pdf.g == "b"].v
     mine = got[got.g == "b"].sort_values("v")
@@ -48,32 +53,60 @@ def test_value_shares(spark, limit):
     assert got.n.sum() == len(pdf)
 
 
-@pytest.mark.parametrize("limit", [40, 1_000_000])
-def test_numbers_follow_the_order(spark, limit):
+@pytest.mark.parametrize("parts", [1, 40])
+def test_numbers_follow_the_order(spark, shuffles, parts):
+    shuffles(parts)
     df = skewed(spark).where("v is not null and not isnan(v)")
-    pdf = ranks.numbered(df, ["g"], "v", "n", "pos", limit).toPandas()
+    pdf = ranks.numbered(df, ["g"], "v", "n").toPandas()
     for _, part in pdf.groupby("g", dropna=False):
         part = part.sort_values("pos")
         assert part.pos.tolist() == list(range(len(part)))
         assert part.v.is_monotonic_increasing
 
 
-def test_numbers_are_the_same_for_any_cut(spark, rows):
+def test_numbers_are_the_same_for_any_cut(spark, rows, shuffles):
     df = skewed(spark).where("v is not null and not isnan(v)")
-    assert rows(ranks.numbered(df, ["g"], "v", "n", "pos", 40), "n", "pos") == rows(
-        ranks.numbered(df, ["g"], "v", "n", "pos"), "n", "pos")
-
-
-def test_hot_value_is_spread(spark):
-    df = skewed(spark).where("g = 'b' and not isnan(v)")
-    sizes = ranks.add_ranges(df, ["g"], "v", "n", 100).groupBy("_range").count().toPandas()
-    assert sizes["count"].max() < 3 * 6000 / 64
-
-
-def test_running_sum_of_weights(spark):
+    shuffles(1)
+    one = rows(ranks.numbered(df, ["g"], "v", "n"), "n", "pos")
+    shuffles(40)
+    assert rows(ranks.numbered(df, ["g"], "v", "n"), "n", "pos") == one
+
+
+@pytest.mark.parametrize("order", [
+    "lpad(cast(x as string), 4, '0')", "date_add(date'2020-01-01', cast(x as int))",
+    "cast(timestamp_ntz'2020-01-01 00:00:00' as timestamp_ntz) + make_dt_interval(0, 0, 0, x)",
+    "1700000000000000000 + x", "cast(x as decimal(20, 3))"])
+def test_any_type_is_numbered(spark, shuffles, order):
+    shuffles(16)
+    df = spark.range(900).selectExpr("(id * 7919) % 900 as x").selectExpr("x", f"{order} as o")
+    got = ranks.numbered(df, [], "o", "x").collect()
+    assert {r["x"]: r["pos"] for r in got} == {i: i for i in range(900)}
+
+
+def test_one_repeated_value_is_one_order(spark, shuffles):
+    shuffles(16)
+    got = ranks.numbered(spark.range(3000).selectExpr("id", "1.5 as v"), [], "v", "id").collect()
+    assert all(r["pos"] == r["id"] for r in got)
+
+
+def test_a_large_group_is_cut(spark, shuffles, tmp_path):
+    shuffles(16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranks.running_sum(spark.range(20_000), [], "id", F.lit(1), None, "s")
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "_part" in plan
+        laid = spark.read.parquet(re.search(r"(/\S*meshtally-[0-9a-f]{32})", str(got.inputFiles()))[1])
+        assert laid.groupBy("_part").count().agg(F.max("count")).first()[0] < 5000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_running_sum_of_weights(spark, shuffles):
     df = spark.range(1000).withColumns({"g": F.lit(1), "w": (F.col("id") % 7).cast("double")})
-    for limit in (30, 10_000):
-        got = ranks.running_sum(df, ["g"], "id", F.col("w"), None, "s", "t", limit).orderBy("id").toPandas()
+    for parts in (1, 30):
+        shuffles(parts)
+        got = ranks.running_sum(df, ["g"], "id", F.col("w"), None, "s", "t").orderBy("id").toPandas()
         assert np.allclose(got.s, np.cumsum(np.arange(1000) % 7))
         assert set(got.t) == {float((np.arange(1000) % 7).sum())}
 
