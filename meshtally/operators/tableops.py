@@ -58,9 +58,11 @@ def tidy_text(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c, t in df.dtypes if t == "string"})
 
 
-def replace_everywhere(df: DataFrame, pattern: str, replacement: str = "") -> DataFrame:
-    """Regex replace in every text column."""
-    return df.withColumns({c: F.regexp_replace(c, pattern, replacement) for c, t in df.dtypes if t == "string"})
+def replace_everywhere(df: DataFrame, pattern: str, replacement: str = "",
+                       columns: Sequence[str] | None = None) -> DataFrame:
+    """Regex replace in every text column, or in those listed."""
+    return df.withColumns({c: F.regexp_replace(c, pattern, replacement) for c, t in df.dtypes
+                           if t == "string" and (columns is None or c in columns)})
 
 
 def pivot_mean(df: DataFrame, index: Sequence[str], column: str, value: str, values: Sequence,

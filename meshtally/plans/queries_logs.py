@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshtally.functions.packets import (
@@ -69,9 +71,11 @@ UNION ALL
 SELECT event_id, 'node', time, node, 'RPL', NULL, NULL, hops, NULL, NULL, NULL, k % 9 FROM ops WHERE event_type = 'click'
 UNION ALL
 SELECT event_id, 'icmp', time, node, 'ICMP', NULL, CAST(k AS VARCHAR), NULL, NULL, NULL, NULL, NULL
-FROM ops WHERE event_type = 'error'""")
+FROM ops WHERE event_type = 'error'
+UNION ALL
+SELECT event_id, 'pow', time, node, 'POW', NULL, NULL, NULL, NULL, NULL, round(value, 2), NULL FROM ops WHERE event_type = 'signup'""")
 def parse_multi(spark, sf):
-    names = ["atomic-op", "atomic-energy", "node", "icmp"]
+    names = ["atomic-op", "atomic-energy", "node", "icmp", "pow"]
     routed = logs.route(V.op_lines(spark, sf), names)
 
     return routed.select(
@@ -135,15 +139,14 @@ def drop_null_cols(spark, sf):
 @query("sink_roundtrip", f"""
 WITH {V.PACKETS}
 SELECT packet, 'run-1' AS run, type, received, lat FROM packets
-UNION ALL SELECT packet, 'csv', type, received, lat FROM packets WHERE hops = 3""")
+UNION ALL SELECT packet, 'csv', type, received, lat FROM packets""")
 def sink_roundtrip(spark, sf):
     """Packets stored per run and as CSV, then read back."""
     packets = sdn_packets(spark, sf)
     path = f"{scratch_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
     tables.save_tables({"packet": packets}, path, "run-1")
     stored = tables.load_table(spark, path, "packet", ["run-1"])
-    small = stored.where(F.col("hops") == 3).select("packet", "type", "received", "lat")
-    tables.write_csv(small, f"{path}/csv")
+    tables.write_csv(stored.select("packet", "type", "received", "lat"), f"{path}/csv")
     text = tables.read_csv(spark, f"{path}/csv", "packet string, type string, received string, lat double")
     return stored.select("packet", "run", "type", "received", "lat").unionByName(text.withColumn("run", F.lit("csv")))
 
@@ -469,6 +472,20 @@ def latency_preagg(spark, sf):
     return metrics.latency_by_hops(sdn_packets(spark, sf), PAIRS, ["id"], {"lat": "sum"}).select("hops", r6("lat"))
 
 
+@query("latency_preagg_named", f"""
+WITH {V.PACKETS},
+each AS (SELECT id, hops, avg(lat) AS mean, min(lat) AS min, max(lat) AS max, median(lat) AS median, count(lat)::DOUBLE AS count FROM packets
+  WHERE received = 'correct' AND type IN ('FTQ', 'FTS', 'REQUEST', 'OPEN_PATH') GROUP BY id, hops),
+long AS (UNPIVOT each ON mean, min, max, median, count INTO NAME fn VALUE lat)
+SELECT fn, hops, round(avg(lat), 6) AS lat FROM long GROUP BY fn, hops""")
+def latency_preagg_named(spark, sf):
+    """Each aggregate a configuration may name; the packets are worked out once."""
+    packets = settle(metrics.delivered(sdn_packets(spark, sf), PAIRS))
+    parts = [metrics.latency_by_hops(packets, PAIRS, ["id"], {"lat": fn}).select(F.lit(fn).alias("fn"), "hops", r6("lat"))
+             for fn in ("mean", "min", "max", "median", "count")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _BETWEEN = V.PACKETS + """,
 trips AS (
   SELECT *, count(*) OVER w AS n, (max(maxtime_us) OVER w - min(mintime_us) OVER w) / 1000.0::DOUBLE AS trip
@@ -482,16 +499,16 @@ def latency_between(spark, sf):
 
 @query("round_trips", f"WITH {_BETWEEN} SELECT packet, id, hops, round(trip, 6) AS lat FROM trips WHERE n > 1")
 def round_trips_query(spark, sf):
-    done = metrics.delivered(sdn_packets(spark, sf), PAIRS)
+    done = settle(metrics.delivered(sdn_packets(spark, sf), PAIRS))  # read twice
     return round_trips(done).select("packet", "id", "hops", r6("lat"))
 
 
 @query("latency_fill", f"""
 WITH {V.PACKETS},
-m AS (SELECT hops, avg(lat) AS lat FROM packets WHERE received = 'correct' AND type = 'DATA' AND hops < 5 GROUP BY hops)
+m AS (SELECT hops, avg(lat) AS lat FROM packets WHERE received = 'correct' AND type = 'DATA' AND hops <> 5 GROUP BY hops)
 SELECT hops, round(lat, 6) AS lat FROM m UNION ALL SELECT 5, round(avg(lat), 6) FROM m""")
 def latency_fill(spark, sf):
-    packets = sdn_packets(spark, sf).where(F.col("hops") < 5)
+    packets = sdn_packets(spark, sf).where(F.col("hops") != 5)
     return metrics.latency_by_hops(packets, ["DATA"], fill_hop=5).select("hops", r6("lat"))
 
 

@@ -21,20 +21,25 @@ from meshtally.sources import tables
 
 # --- series -----------------------------------------------------------------
 
-def _bars(spark, sf):
-    """Mean value per run and hops, with holes: a run lacks the hop counts its own number rules out."""
+def _bars(spark, sf, holes=False):
+    """Mean value per run and hops; with holes a run lacks the hop counts its own number rules out."""
     p = V.plog(spark, sf).withColumn("run", V.run_name())
-    return settle(p.where("hops <> length(event_type)").groupBy("run", "hops").agg(F.avg("value").alias("y")))
+    p = p.where("hops <> length(event_type)") if holes else p
+    return settle(p.groupBy("run", "hops").agg(F.avg("value").alias("y")))
 
 
-_BARS = V.PLOG + f""",
-bars AS (SELECT {V.RUN_CASE} AS run, hops, avg(value) AS y FROM plog WHERE hops <> length(event_type) GROUP BY ALL),
+def _bars_sql(holes: bool) -> str:
+    return V.PLOG + f""",
+bars AS (SELECT {V.RUN_CASE} AS run, hops, avg(value) AS y FROM plog {"WHERE hops <> length(event_type)" * holes} GROUP BY ALL),
 bar_series AS (SELECT run, 'rdc' AS metric, 'bar' AS kind, row_number() OVER (PARTITION BY run ORDER BY hops) - 1 AS pos,
   CAST(hops AS VARCHAR) AS x, CAST(hops AS DOUBLE) AS x_num, y, NULL::DOUBLE AS err, 'Hops' AS xlabel, 'Value' AS ylabel FROM bars)"""
 
 
-def _bar_series(spark, sf):
-    return series.to_series(_bars(spark, sf), F.col("run"), "rdc", "bar", "hops", "y", "Hops", "Value")
+_BARS, _BARS_WITH_HOLES = _bars_sql(False), _bars_sql(True)
+
+
+def _bar_series(spark, sf, holes=False):
+    return series.to_series(_bars(spark, sf, holes), F.col("run"), "rdc", "bar", "hops", "y", "Hops", "Value")
 
 
 def _lines(spark, sf):
@@ -71,12 +76,12 @@ def series_lookup(spark, sf):
 
 
 @query("series_align", f"""
-WITH {_BARS},
+WITH {_BARS_WITH_HOLES},
 r AS (SELECT unnest(['sim-30-a', 'sim-20-a', 'control']) AS run), xs AS (SELECT DISTINCT x, x_num FROM bar_series WHERE run IN (FROM r))
 SELECT 'rdc' AS metric, xs.x, xs.x_num, r.run, round(coalesce(b.y, 0), 6) AS y
 FROM xs CROSS JOIN r LEFT JOIN bar_series b ON b.x = xs.x AND b.run = r.run""")
 def series_align(spark, sf):
-    return _rounded(series.align(_bar_series(spark, sf), ["sim-30-a", "sim-20-a", "control"]))
+    return _rounded(series.align(_bar_series(spark, sf, holes=True), ["sim-30-a", "sim-20-a", "control"]))
 
 
 _CONCAT = """
@@ -91,7 +96,7 @@ def series_concat(spark, sf):
 
 
 @query("compare_runs", f"""
-WITH {_BARS}{_LINES},{_CONCAT},
+WITH {_BARS_WITH_HOLES}{_LINES},{_CONCAT},
 r AS (SELECT unnest(['sim-30-a', 'sim-30-b', 'control']) AS run),
 xs AS (SELECT x, min(pos) AS pos FROM bar_series WHERE run IN (FROM r) GROUP BY x),
 hist AS (SELECT 'share' AS metric, 'hist' AS kind, run, pos, x, y FROM bar_series WHERE run IN (FROM r)),
@@ -102,7 +107,7 @@ FROM xs CROSS JOIN r LEFT JOIN bar_series b ON b.x = xs.x AND b.run = r.run
 UNION ALL SELECT 'lat', 'line', id, run, pos, x, round(y, 6), round(err, 6) FROM l
 UNION ALL SELECT metric, kind, coalesce(nullif(regexp_extract(run, '([0-9]+)', 1), ''), run), run, pos, x, round(y, 6), NULL FROM hist""")
 def compare_runs(spark, sf):
-    bars = _bar_series(spark, sf)
+    bars = _bar_series(spark, sf, holes=True)
     hist = bars.withColumns({"metric": F.lit("share"), "kind": F.lit("hist")})
     every = bars.unionByName(_lines(spark, sf)).unionByName(hist)
     # few points from many events: stored once, as results are, then compared
@@ -322,6 +327,36 @@ def cfg_merge_outer(spark, sf):
     return process({"a": a, "b": b}, {"a": [step]})["a"].select("node", r6("bal_x"), "n", r6("bal_y"), "m")
 
 
+_MERGED = """
+WITH a AS (SELECT CASE WHEN c_custkey % 10 > 0 THEN c_custkey % 60 END AS node, avg(c_acctbal) AS bal, count(*) AS n FROM customer GROUP BY 1),
+b AS (SELECT CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 90 + 30 END AS node, avg(s_acctbal) AS bal, count(*) AS m FROM supplier GROUP BY 1)
+SELECT {node} AS node, round(a.bal, 6) AS bal_x, n, round(b.bal, 6) AS bal_y, m FROM a {join}"""
+
+
+def _merged(spark, sf, **how):
+    a = V.table(spark, sf, "customer").groupBy(F.when(F.col("c_custkey") % 10 > 0, F.col("c_custkey") % 60).alias("node")).agg(
+        F.avg("c_acctbal").alias("bal"), F.count(F.lit(1)).alias("n"))
+    b = V.table(spark, sf, "supplier").groupBy(F.when(F.col("s_suppkey") % 7 > 0, F.col("s_suppkey") % 90 + 30).alias("node")).agg(
+        F.avg("s_acctbal").alias("bal"), F.count(F.lit(1)).alias("m"))
+    step = {"merge": {"df": "b", "left_on": "node", "right_on": "node", **how}}
+    return process({"a": a, "b": b}, {"a": [step]})["a"].select("node", r6("bal_x"), "n", r6("bal_y"), "m")
+
+
+@query("cfg_merge_left", _MERGED.format(node="a.node", join="LEFT JOIN b ON a.node = b.node"))
+def cfg_merge_left(spark, sf):
+    return _merged(spark, sf, how="left")
+
+
+@query("cfg_merge_right", _MERGED.format(node="b.node", join="RIGHT JOIN b ON a.node = b.node"))
+def cfg_merge_right(spark, sf):
+    return _merged(spark, sf, how="right")
+
+
+@query("cfg_merge_null_safe", _MERGED.format(node="a.node", join="JOIN b ON a.node IS NOT DISTINCT FROM b.node"))
+def cfg_merge_null_safe(spark, sf):
+    return _merged(spark, sf, null_safe=True)
+
+
 @query("range_isin_filter", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
 WHERE l_quantity BETWEEN 10 AND 30 AND l_returnflag IN ('A', 'R') AND l_linenumber NOT IN (2, 5)
@@ -335,10 +370,9 @@ def range_isin_filter(spark, sf):
 
 
 @query("row_search", """
-SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part WHERE p_type = 'ECONOMY' AND (p_size = 11 OR p_partkey = 11)""")
+SELECT * FROM part WHERE p_type = 'ECONOMY' AND (p_size = 11 OR p_partkey = 11 OR p_retailprice = 11)""")
 def row_search(spark, sf):
-    p = V.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return ops.search_rows(p, ["ECONOMY", "11"])
+    return ops.search_rows(V.table(spark, sf, "part"), ["ECONOMY", "11"])
 
 
 @query("dup_rows", """
@@ -382,22 +416,23 @@ def multi_sort(spark, sf):
 
 @query("null_rows", """
 WITH e AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value END AS v, CASE WHEN event_id % 5 > 0 THEN event_type END AS kind, user_id,
-  event_id % 7 = 0 AS odd FROM events)
-SELECT event_id, coalesce(v, -1) AS filled, coalesce(kind, 'none') AS kind, coalesce(v, CAST(user_id AS DOUBLE)) AS other,
-  CASE WHEN NOT odd THEN coalesce(v, -1) END AS no_nan, v IS NULL AS was_null, v IS NOT NULL AND kind IS NOT NULL AS complete,
-  v IS NOT NULL AS has_v FROM e""")
+  event_id % 7 = 0 AS odd FROM events),
+f AS (SELECT *, coalesce(v, -1) AS filled, coalesce(v, CAST(user_id AS DOUBLE)) AS other,
+  CASE WHEN NOT odd THEN coalesce(v, -1) END AS no_nan, v IS NULL AS was_null FROM e)
+SELECT 'all' AS rows, event_id, filled, coalesce(kind, 'none') AS kind, other, no_nan, was_null FROM f
+UNION ALL SELECT 'complete', event_id, filled, kind, other, no_nan, was_null FROM f WHERE v IS NOT NULL AND kind IS NOT NULL
+UNION ALL SELECT 'valued', event_id, filled, coalesce(kind, 'none'), other, no_nan, was_null FROM f WHERE v IS NOT NULL""")
 def null_rows(spark, sf):
+    """All rows, those without any NULL, those with a value; filled afterwards."""
     e = V.table(spark, sf, "events").select(
         "event_id", F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("v"),
         F.when(F.col("event_id") % 5 > 0, F.col("event_type")).alias("kind"), "user_id")
-    marks = e.select("event_id").join(e.dropna("any").select("event_id", F.lit(True).alias("complete")), "event_id", "left") \
-        .join(e.dropna(subset=["v"]).select("event_id", F.lit(True).alias("has_v")), "event_id", "left") \
-        .fillna(False, subset=["complete", "has_v"])
-    filled = e.withColumns({"other": F.coalesce("v", F.col("user_id").cast("double")), "was_null": F.col("v").isNull()}) \
+    kept = e.withColumn("rows", F.lit("all")).unionByName(e.dropna("any").withColumn("rows", F.lit("complete"))).unionByName(
+        e.dropna(subset=["v"]).withColumn("rows", F.lit("valued")))
+    filled = kept.withColumns({"other": F.coalesce("v", F.col("user_id").cast("double")), "was_null": F.col("v").isNull()}) \
         .fillna({"v": -1.0, "kind": "none"}).withColumnRenamed("v", "filled")
     nan = filled.withColumn("no_nan", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("filled")))
-    return ops.nan_to_null(nan).join(marks, "event_id").select(
-        "event_id", "filled", "kind", "other", "no_nan", "was_null", "complete", "has_v")
+    return ops.nan_to_null(nan).select("rows", "event_id", "filled", "kind", "other", "no_nan", "was_null")
 
 
 @query("pivot_hops", f"""
@@ -418,13 +453,15 @@ def pivot_ranges(spark, sf):
     return wide.withColumnsRenamed({str(n): f"n{n}" for n in range(1, 8)})
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 @query("table_pivot", f"""
-SELECT c_nationkey, {", ".join(f"round(avg(c_acctbal) FILTER (c_mktsegment = '{s}'), 6) AS seg_{s}" for s in ("BUILDING", "MACHINERY", "HOUSEHOLD"))}
+SELECT c_nationkey, {", ".join(f"round(avg(c_acctbal) FILTER (c_mktsegment = '{s}'), 6) AS seg_{s}" for s in SEGMENTS)}
 FROM customer GROUP BY c_nationkey""")
 def table_pivot(spark, sf):
-    segments = ["BUILDING", "MACHINERY", "HOUSEHOLD"]
-    wide = ops.pivot_mean(V.table(spark, sf, "customer"), ["c_nationkey"], "c_mktsegment", "c_acctbal", segments, "seg_")
-    return wide.select("c_nationkey", *[r6(f"seg_{s}") for s in segments])
+    wide = ops.pivot_mean(V.table(spark, sf, "customer"), ["c_nationkey"], "c_mktsegment", "c_acctbal", SEGMENTS, "seg_")
+    return wide.select("c_nationkey", *[r6(f"seg_{s}") for s in SEGMENTS])
 
 
 # --- run catalogue ----------------------------------------------------------
@@ -432,13 +469,13 @@ def table_pivot(spark, sf):
 @query("run_catalog", """
 SELECT c_custkey, 'NAME=' || replace(c_name, ' ', '') || ' SEGMENT=' || c_mktsegment || ' BAL=' || CAST(CAST(c_acctbal * 100 AS BIGINT) AS VARCHAR)
   || coalesce(' NUM_APPS=' || n_regionkey || ' FLOWID=' || n_nationkey || ' DELAY=[60,75]', '') AS makeargs
-FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20""")
+FROM customer LEFT JOIN nation ON n_nationkey + 5 = c_nationkey""")
 def run_catalog(spark, sf):
     c = V.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("flow_id"), F.create_map(
         F.lit("NAME"), "c_name", F.lit("SEGMENT"), "c_mktsegment", F.lit("BAL"),
         F.round(F.col("c_acctbal") * 100).cast("bigint").cast("string")).alias("params"))
-    n = V.table(spark, sf, "nation").where("n_nationkey < 20").select(
-        F.col("n_nationkey").alias("flow_id"), F.col("n_regionkey").alias("num_apps"), F.create_map(
+    n = V.table(spark, sf, "nation").select(
+        (F.col("n_nationkey") + 5).alias("flow_id"), F.col("n_regionkey").alias("num_apps"), F.create_map(
             F.lit("FLOWID"), F.col("n_nationkey").cast("string"), F.lit("DELAY"), F.lit("[60, 75]")).alias("flows"))
     return runs.catalogue(c, n).select("c_custkey", "makeargs")
 
@@ -518,11 +555,10 @@ SELECT p_partkey, p_name[1:2] AS head, lower(p_brand) AS brand, length(p_name) A
 def table_ops_text(spark, sf):
     p = V.table(spark, sf, "part").select(
         "p_partkey", "p_name", "p_brand", "p_size",
-        F.when(F.col("p_size") % 2 == 0, F.lit("   ")).otherwise(F.concat(F.lit("  "), "p_type", F.lit(" "))).alias("kind"))
-    p = ops.tidy_text(p)
+        F.when(F.col("p_size") % 2 == 0, F.lit("   ")).otherwise(F.concat(F.lit("  "), "p_type", F.lit(" "))).alias("kind"),
+        F.col("p_brand").alias("digits"))
+    p = ops.replace_everywhere(ops.tidy_text(p), "[^0-9]+", columns=["digits"])
     p = ops.split_in_two(ops.add_columns(p, "p_name", "p_size", "both", "/"), "p_name", " ", "first", "rest")
-    digits = ops.replace_everywhere(p.select("p_partkey", F.col("p_brand").alias("digits")), "[^0-9]+")
-    p = p.join(digits, "p_partkey")
     return p.select("p_partkey", F.substring("p_name", 1, 2).alias("head"), F.lower("p_brand").alias("brand"),
                     F.length("p_name").alias("n"), "kind", "digits", "both", "first", "rest")
 
