@@ -10,11 +10,25 @@ from pyspark.sql import functions as F
 
 from meshtally.functions.packets import status_by_pairing, status_by_receipt
 from meshtally.operators.ranks import join_on
+from meshtally.sources.buckets import save_bucketed
 
 # Output column -> state it counts.
 STATES = {"TX": "TX", "RX": "RX", "RTX": "RTR", "FWD": "FWD"}
 
 
+def combinations(events: DataFrame, packet: str, modal: Sequence[str], time_us: str, state: str = "state",
+                 hops: str | None = None, fixed: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Step one of ``packet_summary``: the distinct combinations of a packet's columns with counts, first and last time.
+
+    Combined before the shuffle: a packet repeated in a large share of the log shrinks to its few combinations.
+    """
+    return events.groupBy(*by, packet, *fixed, *modal).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(F.col(state) == s).alias(c) for c, s in STATES.items()],
+        F.min(time_us).alias("_first"), F.max(time_us).alias("_last"),
+        *([F.max(hops).alias("_hops")] if hops else []))
+
+
 def packet_summary(events: DataFrame, packet: str, modal: Sequence[str], time_us: str, state: str = "state",
                    hops: str | None = None, fixed: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """Event counts, first and last time, most frequent columns, highest hops per packet.
@@ -22,19 +36,18 @@ def packet_summary(events: DataFrame, packet: str, modal: Sequence[str], time_us
     ``fixed`` columns have one value per packet, ``modal`` ones take their most
     frequent value (smallest on ties, NULLs left out).
 
-    Step one counts the distinct combinations of a packet's columns, combined
-    before the shuffle: a packet repeated in a large share of the log shrinks to
-    its few combinations. Step two brings these together once per packet; the
+    Step one counts the distinct combinations of a packet's columns. Step two brings these together once per packet; the
     per-column sums and the final aggregate reuse that partitioning. ``by`` adds
     leading keys, such as the run.
     """
+    first = combinations(events, packet, modal, time_us, state, hops, fixed, by)
+    return _summary(first.repartition(*by, packet), packet, modal, hops is not None, fixed, by)
+
+
+def _summary(merged: DataFrame, packet: str, modal: Sequence[str], hops: bool, fixed: Sequence[str],
+             by: Sequence[str]) -> DataFrame:
+    """Step two, on combinations that are laid out by packet."""
     key = [*by, packet, *fixed]
-    first = events.groupBy(*key, *modal).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(F.col(state) == s).alias(c) for c, s in STATES.items()],
-        F.min(time_us).alias("_first"), F.max(time_us).alias("_last"),
-        *([F.max(hops).alias("_hops")] if hops else []))
-    merged = first.repartition(*by, packet)
     for i, c in enumerate(modal):
         merged = merged.withColumn(f"_n{i}", F.sum("_n").over(W.partitionBy(*key, c)))
 
@@ -53,6 +66,20 @@ def _latency(status: str = "received") -> Column:
     return F.when(F.contains(F.col(status), F.lit("correct")), spent).otherwise(F.lit(0.0))
 
 
+MODAL = ("type", "id", "src", "dest", "seq", "origin", "target")
+
+
+def _modal(fixed: Sequence[str]) -> list[str]:
+    return [c for c in MODAL if c not in fixed]
+
+
+def _packets(summary: DataFrame, by: Sequence[str]) -> DataFrame:
+    return summary.withColumn("received", status_by_receipt()).select(
+        *by, "packet", *STATES, "received", F.col("src").alias("node"), "type", "id", "src", "dest", "seq",
+        "origin", "target", "hops", _latency().alias("lat"),
+        F.timestamp_micros("_first").alias("mintime"), F.timestamp_micros("_last").alias("maxtime"))
+
+
 def reconcile(events: DataFrame, fixed: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """Packet table of the simulator profiles.
 
@@ -60,12 +87,19 @@ def reconcile(events: DataFrame, fixed: Sequence[str] = (), by: Sequence[str] =
     target, hops. Latency is in ms, 0 unless delivered. ``fixed`` names the
     columns that follow from the packet key.
     """
-    modal = [c for c in ("type", "id", "src", "dest", "seq", "origin", "target") if c not in fixed]
-    s = packet_summary(events, "packet", modal, "time", hops="hops", fixed=fixed, by=by)
-    return s.withColumn("received", status_by_receipt()).select(
-        *by, "packet", *STATES, "received", F.col("src").alias("node"), "type", "id", "src", "dest", "seq",
-        "origin", "target", "hops", _latency().alias("lat"),
-        F.timestamp_micros("_first").alias("mintime"), F.timestamp_micros("_last").alias("maxtime"))
+    return _packets(packet_summary(events, "packet", _modal(fixed), "time", hops="hops", fixed=fixed, by=by), by)
+
+
+def store_events(events: DataFrame, name: str, path: str, fixed: Sequence[str] = (), by: Sequence[str] = (),
+                 buckets: int | None = None) -> DataFrame:
+    """Store events as combinations in buckets of the packet, for ``reconcile_stored``."""
+    first = combinations(events, "packet", _modal(fixed), "time", hops="hops", fixed=fixed, by=by)
+    return save_bucketed(first, name, path, [*by, "packet"], buckets)
+
+
+def reconcile_stored(stored: DataFrame, fixed: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """The packet table from what ``store_events`` wrote; nothing is shuffled."""
+    return _packets(_summary(stored, "packet", _modal(fixed), True, fixed, by), by)
 
 
 def reconcile_testbed(events: DataFrame, time_us: str = "time", by: Sequence[str] = ()) -> DataFrame:
@@ -109,5 +143,10 @@ def round_trips(packets: DataFrame, key: str = "id", by: Sequence[str] = ()) ->
         .agg(F.count(F.lit(1)).alias("_n"), F.min("mintime").alias("_from"), F.max("maxtime").alias("_to"))
         .where(F.col("_n") > 1)
     )
+    if not by:  # a plain equality, so that packets stored in buckets of the key stay where they are
+        spans = spans.withColumnRenamed(key, "_key")
+        joined = packets.join(spans, F.col(key) == F.col("_key")).drop("_key")
+    else:
+        joined = join_on(packets, spans, [*by, key])
     span = (F.unix_micros("_to") - F.unix_micros("_from")).cast("double") / F.lit(1e3)
-    return join_on(packets, spans, [*by, key]).withColumn("lat", span).drop("_n", "_from", "_to")
+    return joined.withColumn("lat", span).drop("_n", "_from", "_to")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +28,35 @@ def catalogue(runs: DataFrame, flows: DataFrame, params: str = "params", flow: s
     )
 
 
+BLOCK = 10_000  # combinations that a task makes of one row
+
+
 def grid(df: DataFrame, values: Sequence[str], out: str = "params") -> DataFrame:
-    """Every combination of the row's own value lists, as a map from list name to value."""
-    for c in values:
-        df = df.withColumn(c, F.explode(c))
-    return df.withColumn(out, F.create_map(*[
+    """Every combination of the row's own value lists, as a map from list name to value.
+
+    Combinations are numbered and their numbers dealt to all tasks in blocks, so the product of one row may be of any
+    size; a number's digits, with the lists' lengths as bases, are the places in the lists. An empty or NULL list
+    leaves no combination.
+    """
+    sizes = [F.size(c).cast("bigint") for c in values]
+    rows = df.where(reduce(lambda a, b: a & b, [F.coalesce(n, F.lit(0)) > 0 for n in sizes])).withColumn(
+        "_total", reduce(lambda a, b: a * b, sizes))
+    start, end = F.lit(0).cast("bigint"), F.col("_total")
+    for step in (BLOCK * BLOCK, BLOCK):
+        step = F.lit(step).cast("bigint")
+        rows = rows.withColumn("_from", F.explode(F.sequence(start, end - 1, step)))
+        start, end = F.col("_from"), F.least(F.col("_total"), F.col("_from") + step)
+    # dealt in turn: rows of one block must not meet by their equal numbers
+    dealt = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbered = dealt.withColumn("_i", F.explode(F.sequence(
+        F.col("_from"), F.least(F.col("_total"), F.col("_from") + BLOCK) - 1)))
+    picked = {}
+    for i, c in enumerate(values):
+        # the number over the product of the later lists' lengths, modulo this one's
+        stride = " * ".join(["1L", *[f"size(`{later}`)" for later in values[i + 1:]]])
+        picked[c] = F.get(F.col(c), F.expr(f"CAST((_i div ({stride})) % size(`{c}`) AS INT)"))
+    chosen = numbered.withColumns(picked).drop("_total", "_from", "_i")
+    return chosen.withColumn(out, F.create_map(*[
         e for c in values for e in (F.lit(c), F.col(c).cast("string"))]))
 
 

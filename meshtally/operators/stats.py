@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -25,9 +26,9 @@ def reject_outliers(df: DataFrame, value: str, m: float = 2.0, groups: Sequence[
     def distance(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
 
-    away = settle(distance(join_on(counts, center, keys)).groupBy(*keys, "_dev", "_median").agg(F.sum("n").alias("n")))
-    spread = percentiles_of_counts(away, "_dev", {"_mad": 0.5}, keys)
-    limits = settle(join_on(away.select(*keys, "_median").distinct(), spread, keys))
+    # the median is one per group, so it may be a key of the second step and need not be joined again
+    away = distance(join_on(counts, center, keys)).groupBy(*keys, "_median", "_dev").agg(F.sum("n").alias("n"))
+    limits = settle(percentiles_of_counts(settle(away), "_dev", {"_mad": 0.5}, [*keys, "_median"]))
     scored = distance(join_on(df, limits, keys))
     keep = (F.col("_mad") == 0) | (F.col("_dev") < F.lit(float(m)) * F.col("_mad"))
     return scored.where(keep).drop("_median", "_dev", "_mad")
@@ -133,11 +134,15 @@ def box_stats(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFram
         F.greatest(F.coalesce("_hi", "q3"), "q3").alias("whishi"))
 
 
+TERMS = 22  # of the expansion of a kernel about the middle of its box
+
+
 def density(df: DataFrame, value: str, group: str, members: Sequence, points: int = 100) -> DataFrame:
     """(group, i, x, y): Gaussian kernel density of the listed groups, Scott's bandwidth.
 
-    Equal values are counted first. A value only reaches the grid points where
-    its kernel is not zero in double precision, so nothing is left out.
+    Linear in the values: a box as wide as the bandwidth keeps a few moments of the values in it, from which their kernels follow
+    at any distance. Cutting the expansion after ``TERMS`` terms changes a kernel by less than 1e-16 of its peak. A box only
+    reaches the grid points where kernels are not zero in double precision, so nothing is left out.
     """
     rows = value_counts(df.where(F.col(group).isin(list(members))).select(
         group, F.col(value).cast("double").alias("_v")), "_v", [group]).withColumnRenamed("n", "_n")
@@ -149,13 +154,24 @@ def density(df: DataFrame, value: str, group: str, members: Sequence, points: in
         (F.sqrt(F.sum(off) / F.when(F.col("_total") > 1, F.col("_total") - 1))
          * F.pow(F.col("_total").cast("double"), F.lit(-0.2))).alias("_h")).where(F.col("_h") > 0))
     shape = shape.withColumn("_step", (F.col("_max") - F.col("_min")) / F.lit(points - 1))
-    reach = F.lit(39.0) * F.col("_h")
-    first = F.greatest(F.lit(0), F.ceil((F.col("_v") - reach - F.col("_min")) / F.col("_step")).cast("int"))
-    final = F.least(F.lit(points - 1), F.floor((F.col("_v") + reach - F.col("_min")) / F.col("_step")).cast("int"))
+    place = (F.col("_v") - F.col("_min")) / F.col("_h")
+    boxed = join_on(rows, shape.select(group, "_min", "_h"), [group]).select(
+        group, F.floor(place).alias("_box"), (place - F.floor(place) - F.lit(0.5)).alias("_b"), "_n")
+    # exp(-(a - b)^2 / 2) = exp(-a^2 / 2) * sum over k of a^k * exp(-b^2 / 2) * b^k / k!, from the middle of the box
+    weight = F.col("_n") * F.exp(F.col("_b") * F.col("_b") * F.lit(-0.5))
+    moments = boxed.groupBy(group, "_box").agg(*[
+        (F.sum(weight * F.pow("_b", F.lit(float(k)))) / F.lit(float(math.factorial(k)))).alias(f"_m{k}") for k in range(TERMS)])
+    middle = F.col("_min") + (F.col("_box") + F.lit(0.5)) * F.col("_h")
+    reach = F.lit(40.0) * F.col("_h")
+    first = F.greatest(F.lit(0), F.ceil((middle - reach - F.col("_min")) / F.col("_step")).cast("int"))
+    final = F.least(F.lit(points - 1), F.floor((middle + reach - F.col("_min")) / F.col("_step")).cast("int"))
     x = F.col("_min") + F.col("i") * F.col("_step")
-    z = (x - F.col("_v")) / F.col("_h")
-    near = join_on(rows, shape, [group]).withColumn("i", F.explode(F.sequence(first, final)))
-    sums = near.groupBy(group, "i").agg(F.sum(F.col("_n") * F.exp(z * z * F.lit(-0.5))).alias("_s"))
+    a = (x - middle) / F.col("_h")
+    series = F.col(f"_m{TERMS - 1}")
+    for k in range(TERMS - 2, -1, -1):
+        series = series * F.col("_a") + F.col(f"_m{k}")
+    near = join_on(moments, shape, [group]).withColumn("i", F.explode(F.sequence(first, final))).withColumn("_a", a)
+    sums = near.groupBy(group, "i").agg(F.sum(F.exp(F.col("_a") * F.col("_a") * F.lit(-0.5)) * series).alias("_s"))
     every = shape.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     norm = F.col("_total") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi())
     return join_on(every, sums, [group, "i"], "left").select(

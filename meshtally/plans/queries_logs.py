@@ -138,15 +138,16 @@ def drop_null_cols(spark, sf):
 
 @query("sink_roundtrip", f"""
 WITH {V.PACKETS}
-SELECT packet, 'run-1' AS run, type, received, lat FROM packets
+SELECT packet, unnest(['007', '1e3']) AS run, type, received, lat FROM packets
 UNION ALL SELECT packet, 'csv', type, received, lat FROM packets""")
 def sink_roundtrip(spark, sf):
-    """Packets stored per run and as CSV, then read back."""
-    packets = sdn_packets(spark, sf)
+    """Packets stored under names of runs that look like numbers, one twice, and as CSV, then read back."""
+    packets = settle(sdn_packets(spark, sf))
     path = f"{scratch_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
-    tables.save_tables({"packet": packets}, path, "run-1")
-    stored = tables.load_table(spark, path, "packet", ["run-1"])
-    tables.write_csv(stored.select("packet", "type", "received", "lat"), f"{path}/csv")
+    for run, rows in (("007", packets.limit(1)), ("1e3", packets), ("7", packets), ("007", packets)):
+        tables.save_tables({"packet": rows}, path, run)
+    stored = tables.load_table(spark, path, "packet", ["007", "1e3"])
+    tables.write_csv(stored.where("run = '007'").select("packet", "type", "received", "lat"), f"{path}/csv")
     text = tables.read_csv(spark, f"{path}/csv", "packet string, type string, received string, lat double")
     return stored.select("packet", "run", "type", "received", "lat").unionByName(text.withColumn("run", F.lit("csv")))
 

@@ -105,9 +105,9 @@ def parse_all(spark, sf):
         "event_id", "time", "node", "state", "type", "origin", "target", "src", "dest", "seq", "hops")
 
 
-def _flat_lines(p):
+def _flat_lines(p, *more: str):
     c = F.col
-    return p.select("event_id", F.concat(
+    return p.select("event_id", *more, F.concat(
         _head("SDN"), F.when(c("state") == "OUT", "TX").otherwise("RX"), F.lit(" "), "type",
         _tag("m", F.when(c("seq") % 3 > 0, c("origin"))), _tag("t", F.when(c("seq") % 5 > 0, F.lit(1))),
         _tag("s", c("src")), _tag("d", c("dest")), _tag("id", c("seq")), _tag("h", c("hops"))).alias("value"))

@@ -171,12 +171,14 @@ m AS (SELECT run, 'pdr' AS name, pdr AS value FROM wide UNION ALL SELECT run, 'l
 
 @query("metric_table", f"WITH {_RUN_METRICS} SELECT run, name, round(value, 6) AS value FROM m")
 def metric_table(spark, sf):
-    """Appended in two steps, read back as one table."""
+    """Saved in three steps, one of them a second time, read back as one table."""
     m = settle(_run_metrics(spark, sf))
     path = f"{scratch_dir(spark)}/metrics-{uuid.uuid4().hex}"
     tables.save_metrics(m.where("name = 'pdr'"), path)
-    tables.save_metrics(m.where("name = 'lat'"), path)
-    return spark.read.schema(tables.METRICS_SCHEMA).parquet(path).select("run", "name", r6("value"))
+    tables.save_metrics(m.where("name = 'lat'").withColumn("value", F.lit(-1.0)), path)
+    for _ in range(2):
+        tables.save_metrics(m.where("name = 'lat'"), path)
+    return tables.load_metrics(spark, path).select("run", "name", r6("value"))
 
 
 @query("metric_sweep", f"""

@@ -101,12 +101,15 @@ def scrape(lines: DataFrame, names: Sequence[str], value: str = "value") -> dict
     return {name: parse(lines, name, value) for name in names}
 
 
-def route(lines: DataFrame, names: Sequence[str], value: str = "value") -> DataFrame:
+def route(lines: DataFrame, names: Sequence[str], value: str = "value", rejects: str | None = None) -> DataFrame:
     """One pass over the log for several patterns: ``pattern`` and the fields of all of them.
 
     Patterns are not exclusive: a line gives one row per pattern it matches,
     with NULL in the fields that pattern does not have. A field whose type
     differs between the patterns is text.
+
+    With ``rejects`` a line that matches none gives a row of that pattern. ``failed`` then lists a row's fields whose
+    text does not fit their type, and ``line`` holds the text of unmatched lines and of those with such fields.
     """
     patterns = [get_pattern(n) for n in names]
     fields = list(dict.fromkeys(f for p in patterns for f in p.groups))
@@ -118,21 +121,40 @@ def route(lines: DataFrame, names: Sequence[str], value: str = "value") -> DataF
         found = F.when(F.contains(F.col(value), F.lit(p.needs)), found) if p.needs else found
         return F.struct(F.lit(p.name).alias("pattern"), found.alias("_hit"))
 
-    hits = lines.select(*kept, value, F.inline(F.array(*[tagged(p) for p in patterns]))).where(
-        F.startswith("_hit", F.lit(_HIT)) & (F.col("_hit") != F.col(value))
-        & (F.col("_hit") != F.replace(F.col(value), F.lit(".-"), F.lit("."))))
+    def is_hit(hit: Column) -> Column:
+        return (F.startswith(hit, F.lit(_HIT)) & (hit != F.col(value))
+                & (hit != F.replace(F.col(value), F.lit(".-"), F.lit("."))))
+
+    every = F.array(*[tagged(p) for p in patterns])
+    if rejects is None:
+        hits = lines.select(*kept, value, F.inline(every)).where(is_hit(F.col("_hit")))
+    else:
+        # through a generator, so that the tests above run once per line
+        found = lines.select(*kept, value, F.explode(F.array(every)).alias("_every")).select(
+            *kept, value, F.explode(F.array(F.filter("_every", lambda t: F.coalesce(is_hit(t["_hit"]), F.lit(False))))
+                                    ).alias("_found"))
+        none = F.array(F.struct(F.lit(rejects).alias("pattern"), F.lit(None).cast("string").alias("_hit")))
+        hits = found.select(*kept, value, F.inline(F.when(F.size("_found") > 0, F.col("_found")).otherwise(none)))
     again = F.lit(None).cast("array<string>")
     for p in patterns:
         again = F.when(F.col("pattern") == p.name, _each_group(p, _whole_line(p, value), fields)).otherwise(again)
-    rows = hits.select(*kept, "pattern", _parts("_hit", fields, again).alias("_parts"))
+    rows = hits.select(*kept, *([value] if rejects else []), "pattern", _parts("_hit", fields, again).alias("_parts"))
 
     def sql_type(f: str) -> str:
         types = {p.type_of(f) for p in patterns if f in p.groups}
         return types.pop() if len(types) == 1 else "string"
 
-    return rows.select(
+    typed = rows.select(
         "pattern", *[_typed(F.get(F.col("_parts"), F.lit(i)), sql_type(f)).alias(f) for i, f in enumerate(fields)],
-        *kept)
+        *kept, *([F.col(value).alias("line"), "_parts"] if rejects else []))
+    if rejects is None:
+        return typed
+    failed = F.array_compact(F.array(*[
+        F.when((F.coalesce(F.get(F.col("_parts"), F.lit(i)), F.lit("")) != "") & F.col(f).isNull(), f)
+        for i, f in enumerate(fields)]))
+    marked = typed.withColumn("failed", failed).drop("_parts")
+    whole = (F.col("pattern") != rejects) & (F.size("failed") == 0)
+    return marked.withColumn("line", F.when(~whole, F.col("line")))
 
 
 def routed_table(routed: DataFrame, name: str, names: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshtally.sources.store import Store
+
 SERIES_SCHEMA = (
     "run string, metric string, kind string, pos bigint, x string, x_num double, "
     "y double, err double, xlabel string, ylabel string"
@@ -30,38 +32,50 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def save_tables(tables: Mapping[str, DataFrame], path: str, run: str) -> None:
-    """Store the tables of one run; saving it again replaces only that run."""
+    """Store the tables of one run; saving it again replaces only that run, as a whole.
+
+    A run's name is data, not a folder: any text is one.
+    """
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/table={name}/run={run}")
+        key = df.sparkSession.createDataFrame([(run,)], "run string")
+        Store(df.sparkSession, f"{path}/{name}", ["run"]).put(df.drop("run").withColumn("run", F.lit(run)), key)
 
 
 def load_table(spark: SparkSession, path: str, name: str, runs: Sequence[str] | None = None) -> DataFrame:
-    """One table over all saved runs, or over ``runs`` (only their folders are read)."""
-    df = spark.read.option("basePath", f"{path}/table={name}").parquet(f"{path}/table={name}")
-    df = df.withColumn("run", F.col("run").cast("string"))
-    return df if runs is None else df.where(F.col("run").isin(list(runs)))
+    """One table over all saved runs, or over ``runs`` (only the saves that hold them are read)."""
+    found = Store(spark, f"{path}/{name}", ["run"]).read(runs)
+    if found is None:
+        raise FileNotFoundError(f"no table {name} under {path}")
+    return found
 
 
 def save_metrics(metrics: DataFrame, path: str) -> None:
-    """Append scalar results (run, name, value)."""
-    metrics.select("run", "name", "value").write.mode("append").parquet(path)
+    """Store scalar results (run, name, value); a run's metric saved again replaces the one before."""
+    Store(metrics.sparkSession, path, ["run", "name"]).put(metrics.select("run", "name", "value"))
+
+
+def load_metrics(spark: SparkSession, path: str, runs: Sequence[str] | None = None) -> DataFrame:
+    found = Store(spark, path, ["run", "name"]).read(runs)
+    return spark.createDataFrame([], METRICS_SCHEMA) if found is None else found.select("run", "name", "value")
+
+
+def _series_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, ["metric", "run"], ["metric", "run"])
 
 
 def save_series(series: DataFrame, path: str) -> None:
-    """Store series by metric and run; only the runs written are replaced.
+    """Store series by metric and run; only the runs written are replaced, all in one commit.
 
     Range partitioning keeps few files per folder and still splits a run that
     holds a large share of the points.
     """
-    (
-        series.repartitionByRange("metric", "run", "pos")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("metric", "run").parquet(path)
-    )
+    _series_store(series.sparkSession, path).put(series.repartitionByRange("metric", "run", "pos"))
 
 
 def load_series(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SERIES_SCHEMA).parquet(path)
+    empty = spark.createDataFrame([], SERIES_SCHEMA)
+    found = _series_store(spark, path).read()
+    return empty if found is None else found.select(*empty.columns)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

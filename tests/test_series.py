@@ -78,11 +78,17 @@ def test_clip_summary_sweep(spark, rows):
     assert rows(S.sweep(m, ["0", "25"], ["pdr", "lat"])) == [("0", 90.0, 5.0), ("25", 80.0, None)]
 
 
-def test_metric_store_appends(spark, rows, tmp_path):
+def test_metric_store(spark, rows, tmp_path):
+    path = str(tmp_path / "m")
+    assert tables.load_metrics(spark, path).count() == 0
     m = spark.createDataFrame([("0", "pdr", 90.0)], tables.METRICS_SCHEMA)
-    tables.save_metrics(m, str(tmp_path / "m"))
-    tables.save_metrics(m.withColumn("run", F.lit("1")), str(tmp_path / "m"))
-    assert rows(spark.read.parquet(str(tmp_path / "m"))) == [("0", "pdr", 90.0), ("1", "pdr", 90.0)]
+    tables.save_metrics(m, path)
+    for _ in range(2):  # saving again adds nothing
+        tables.save_metrics(m.withColumn("run", F.lit("1")), path)
+    assert rows(tables.load_metrics(spark, path)) == [("0", "pdr", 90.0), ("1", "pdr", 90.0)]
+    tables.save_metrics(m.withColumn("value", F.lit(1.0)).unionByName(m.withColumn("name", F.lit("lat"))), path)
+    assert rows(tables.load_metrics(spark, path)) == [("0", "lat", 90.0), ("0", "pdr", 1.0), ("1", "pdr", 90.0)]
+    assert rows(tables.load_metrics(spark, path, ["1"])) == [("1", "pdr", 90.0)]
 
 
 def test_saved_tables(spark, rows, tmp_path):
