@@ -5,9 +5,9 @@ vectors that lie side by side in orders of random signatures, and are refined by
 comparing, around each vector, its neighbours and those that have it as theirs with
 one another, until few lists change. Lists whose last entry still is a link are
 saturated and get longer; beyond ``most`` entries an exact search in blocks
-counts the links of those vectors. Links found are checked in double precision, and
+counts the links of those vectors, on both ends. Links found are checked in double precision, and
 the recall is audited by brute force for a sample of vectors; while it falls short, all
-lists get longer and are refined again.
+lists get longer and are refined again, and where that does not help the exact search takes all vectors.
 
 Equal vectors of a label are one class, with its number of rows as weight.
 """
@@ -27,7 +27,10 @@ from meshtally.llm.common import arrow_map, bounded
 from meshtally.llm.components import Links, components
 from meshtally.session import settle
 
-SLACK = 0.01  # more than the error of cosines of vectors rounded to bytes
+# Half-precision components are off by 2^-11 of their size, so unit vectors by 2^-11 and products by less than 2^-10,
+# however the sizes of the components differ; the rest is for sums in single precision over long vectors.
+SLACK = 0.002
+LONGEST = 384  # entries of a list, beyond which refining gives way to the exact search
 BLOCK = 4096
 
 
@@ -36,9 +39,8 @@ def _units(vectors: list[bytes], kind: str = "<f8") -> np.ndarray:
 
 
 def _rough(vectors: list[bytes]) -> np.ndarray:
-    """Unit rows, float32, from rounded vectors of one length."""
-    x = np.frombuffer(b"".join(vectors), np.int8).reshape(len(vectors), -1).astype(np.float32)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    """Rows, float32, from unit vectors of one length in half precision."""
+    return np.frombuffer(b"".join(vectors), np.float16).reshape(len(vectors), -1).astype(np.float32)
 
 
 def classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +64,7 @@ def classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             x = x / np.abs(x).max()  # so that no square under- or overflows
             x = x / np.sqrt(x @ x)
             exact.append(x.tobytes())
-            rough.append(np.rint(x * (127 / np.abs(x).max())).astype(np.int8).tobytes())
+            rough.append(x.astype(np.float16).tobytes())
         return {"embedding": batch.column(0), "label": batch.column(1), "dims": batch.column(2),
                 "weight": batch.column(3), "first": batch.column(4),
                 "unit": pa.array(exact, pa.binary()), "rough": pa.array(rough, pa.binary())}
@@ -237,12 +239,13 @@ def checked(lists: DataFrame, nodes: DataFrame, link: float) -> DataFrame:
 def exact_links(asked: DataFrame, nodes: DataFrame, link: float) -> DataFrame:
     """(a, b, n): in blocks of all vectors of its label, the links of each vector ``asked`` (id).
 
-    Rows with b NULL give in n the weight of a's links in one block; those with n NULL are links that
-    connect what all of them would.
+    Rows with b NULL give in n the weight of a's links in one block: for a vector that asked, all of them; for one that
+    did not, those to vectors that did. Rows with n NULL are links that connect what all of them would.
     """
-    members = nodes.select("label", "dims", "id", "unit", "weight")
+    members = nodes.select("label", "dims", "id", "unit", "weight").join(
+        asked.select("id", F.lit(True).alias("asks")), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     sizes = members.groupBy("label", "dims").count()
-    queries = members.join(asked, "id", "left_semi").join(sizes, ["label", "dims"]).select(
+    queries = members.where("asks").join(sizes, ["label", "dims"]).select(
         "label", "dims", "id", "unit", "weight",
         F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / BLOCK).cast("int"))).alias("i"))
     many = queries.groupBy("label", "dims", "i").count().select(
@@ -252,32 +255,36 @@ def exact_links(asked: DataFrame, nodes: DataFrame, link: float) -> DataFrame:
     targets = members.join(sizes, ["label", "dims"]).withColumn(
         "i", (spread % F.ceil(F.col("count") / BLOCK)).cast("int")).join(many, ["label", "dims", "i"]).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).drop("count", "q")
-    units = queries.withColumn("asks", F.lit(True)).unionByName(targets.withColumn("asks", F.lit(False)))
+    units = queries.withColumns({"asks": F.lit(True), "query": F.lit(True)}).unionByName(
+        targets.withColumn("query", F.lit(False)))
 
     def solve(key: tuple, table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
+        query, asks = (table.column(c).to_numpy() for c in ("query", "asks"))
         ids, weight = table.column("id").to_numpy(), table.column("weight").to_numpy()
-        order = np.concatenate((np.flatnonzero(asks), np.flatnonzero(~asks)))
-        n = int(asks.sum())
+        order = np.concatenate((np.flatnonzero(query), np.flatnonzero(~query)))
+        n = int(query.sum())
         x = _units(table.column("unit").to_pylist())[order]
-        ids, weight = ids[order], weight[order]
+        ids, weight, silent = ids[order], weight[order], ~asks[order][n:]
         # a vector that asks and is in the block is one item
         same = {v: i for i, v in enumerate(ids[:n].tolist())}
         item = np.array([same.get(v, i + n) for i, v in enumerate(ids[n:].tolist())], np.int64)
         links = Links(len(ids))
-        total = np.zeros(n, np.int64)
+        total, back = np.zeros(n, np.int64), np.zeros(len(ids) - n, np.int64)
         for at in range(0, n, 256):
             to = min(n, at + 256)
             hit = x[at:to] @ x[n:].T >= link
             hit &= ids[at:to, None] != ids[None, n:]
             total[at:to] = np.rint(hit.astype(np.float64) @ weight[n:].astype(np.float64))
+            back += np.rint(weight[at:to].astype(np.float64) @ hit.astype(np.float64)).astype(np.int64)
             q, t = np.nonzero(hit)
             links.add(q + at, item[t])
         pairs = ids[links.pairs()]
+        reached = np.flatnonzero(silent & (back > 0))
+        counted = np.concatenate((ids[:n], ids[n:][reached]))
         return pa.table({
-            "a": pa.array(np.concatenate((ids[:n], pairs[:, 0]))),
-            "b": pa.array([None] * n + pairs[:, 1].tolist(), pa.int64()),
-            "n": pa.array(total.tolist() + [None] * len(pairs), pa.int64())})
+            "a": pa.array(np.concatenate((counted, pairs[:, 0]))),
+            "b": pa.array([None] * len(counted) + pairs[:, 1].tolist(), pa.int64()),
+            "n": pa.array(total.tolist() + back[reached].tolist() + [None] * len(pairs), pa.int64())})
 
     return units.groupBy("label", "dims", "i", "j").applyInArrow(solve, "a bigint, b bigint, n bigint")
 
@@ -314,7 +321,7 @@ def audit(nodes: DataFrame, links: DataFrame, apart: DataFrame, link: float, sam
 
 @dataclass
 class Found:
-    """One row per vector, and the audited recall of the links."""
+    """One row per vector, and the audited recall of the links (1 where all come from the exact search)."""
 
     rows: DataFrame
     recall: float
@@ -322,10 +329,11 @@ class Found:
 
 def near_vectors(df: DataFrame, link: float = 0.98, k: int = 12, most: int = 48, orders: int = 4, rounds: int = 8,
                  still: float = 0.002, sample: int = 256, recall: float = 0.995) -> Found:
-    """(vec_id, n_links, component_id, kept) for every row of ``df`` (vec_id, embedding, label; others are ignored).
+    """(vec_id, n_links, component_id, kept, recall) for every row of ``df`` (vec_id, embedding, label; others are ignored).
 
     Rows of equal label and length whose cosine is ``link`` or more are linked. n_links: other rows linked directly;
-    component_id: smallest vec_id reachable; kept: whether it is the row's own. Rows that can link with
+    component_id: smallest vec_id reachable; kept: whether it is the row's own; recall: the share of links that the audit
+    found, the same in all rows. Rows that can link with
     nothing (see ``classes``) are their own components. A NULL vec_id counts as a link but is no component's id, unless
     there is no other. Repeated rows are linked rows. No rows give none.
     """
@@ -338,17 +346,23 @@ def near_vectors(df: DataFrame, link: float = 0.98, k: int = 12, most: int = 48,
             (F.col("n") >= F.col("k")) & (F.col("least") >= link - SLACK)).select("id"))
         links = settle(checked(lists, nodes, link))
         got = audit(nodes, links, stuck, link, sample)
-        if got >= recall or most >= 8 * 48:
+        if got >= recall:
+            break
+        if most >= LONGEST:  # longer lists did not find them either
+            stuck, got = nodes.select("id"), 1.0
             break
         most *= 2
         lists = settle(keep_nearest(lists.select("src", "dst", "sim", (F.col("k") * 2).alias("k"), F.lit(True).alias("new")),
                                     link, most))
     exact = settle(exact_links(stuck, nodes, link))
     weight = nodes.select("id", "weight")
-    ends = links.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(
-        links.select(F.col("b").alias("id"), F.col("a").alias("o"))).join(stuck, "id", "left_anti")
-    counted = ends.join(weight.withColumnsRenamed({"id": "o", "weight": "w"}), "o").groupBy("id").agg(F.sum("w").alias("n"))
-    counted = counted.unionByName(exact.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")))
+    # links with an end that asked are all counted by the exact search
+    listed = links.join(stuck.withColumnRenamed("id", "a"), "a", "left_anti").join(
+        stuck.withColumnRenamed("id", "b"), "b", "left_anti")
+    ends = listed.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(
+        listed.select(F.col("b").alias("id"), F.col("a").alias("o")))
+    counted = ends.join(weight.withColumnsRenamed({"id": "o", "weight": "n"}), "o").select("id", "n").unionByName(
+        exact.where("b is null").select(F.col("a").alias("id"), "n")).groupBy("id").agg(F.sum("n").alias("n"))
     linked = components(links.unionByName(exact.where("b is not null").select("a", "b")))
     members = nodes.select("id", "label", "dims", "embedding", "weight", "first").join(
         linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -360,4 +374,4 @@ def near_vectors(df: DataFrame, link: float = 0.98, k: int = 12, most: int = 48,
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"),
                                              F.col("vec_id").alias("component_id"))
     out = placed.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    return Found(out, got)
+    return Found(out.withColumn("recall", F.lit(float(got))), got)

@@ -373,20 +373,8 @@ def test_decontamination_in_blocks(sp, docs, monkeypatch):
 
 # --- 9 neighbours
 
-def test_neighbours_against_brute_force(sp):
-    rng = np.random.default_rng(4)
-    base = rng.standard_normal((150, 16))
-    crowd = base[0] + 0.02 * rng.standard_normal((120, 16))
-    pairs = base[1:40] + 0.05 * rng.standard_normal((39, 16))
-    x = np.concatenate((base, crowd, pairs, base[:30], base[:5] * 3)).astype(np.float32)
-    rows = [(i, v.tolist(), i % 3, "x") for i, v in enumerate(x)]
-    odd = [(1000, None, 1, "x"), (1001, [0.0] * 16, 1, None), (1002, [float("nan")] * 16, 1, None),
-           (1003, [1.0] + [None] * 15, 1, None), (1004, x[0].tolist(), None, None), (1005, [], 1, None),
-           (1006, [1.0, 2.0], 1, None), (1007, [2.0, 4.0], 1, None), (1006, [1.0, 2.0], 1, None),
-           (None, x[2].tolist(), 2, None), (1008, [float("inf")] * 16, 1, None)]
-    df = sp.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>, label int, n_links string").repartition(3)
-    every = [r for r in rows + odd]
-
+def brute_links(every):
+    """(vec_id, n_links, component_id, kept) per row (vec_id, vector, label)."""
     def usable(v, label):
         return bool(label is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v))
 
@@ -399,10 +387,57 @@ def test_neighbours_against_brute_force(sp):
                     and len(units[i]) == len(units[j]):
                 links[i, j] = units[i] @ units[j] >= 0.98
     comp = brute_components((links | np.eye(n, dtype=bool)).tolist(), [r[0] for r in every])
-    want = [(r[0], int(links[i].sum()), comp[i], r[0] == comp[i]) for i, r in enumerate(every)]
+    return sorted(((r[0], int(links[i].sum()), comp[i], r[0] == comp[i]) for i, r in enumerate(every)), key=repr)
+
+
+def link_rows(found):
+    return sorted(map(tuple, found.rows.drop("recall").collect()), key=repr)
+
+
+def test_neighbours_with_one_large_component(sp):
+    """Small components decide here, next to one that is 250 times larger."""
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-0.004, 0.004, (40, 768))
+    x[:, 5] = 1.0
+    far = rng.standard_normal((30, 768))
+    every = [(i, [float(np.float32(c)) for c in v], 1) for i, v in enumerate(np.concatenate((x, far)))]
+    found = neighbours.near_vectors(sp.createDataFrame(every, "vec_id bigint, embedding array<float>, label int"))
+    want = brute_links(every)
+    assert sum(r[1] for r in want) == 40 * 39
+    assert link_rows(found) == want and found.rows.first()["recall"] > 0.9
+
+
+def test_neighbours_fall_back_to_the_exact_search(sp, monkeypatch):
+    """Lists that are too short for dense labels, and no more rounds: nothing is lost, on either end of a link."""
+    monkeypatch.setattr(neighbours, "LONGEST", 2)
+    rng = np.random.default_rng(9)
+    middles = rng.standard_normal((40, 24))
+    x = middles[rng.integers(0, 40, 600)] + 0.06 * rng.standard_normal((600, 24))
+    every = [(i, [float(np.float32(c)) for c in v], int(i % 2)) for i, v in enumerate(x)]
+    df = sp.createDataFrame(every, "vec_id bigint, embedding array<float>, label int").repartition(4)
+    short = neighbours.near_vectors(df, k=2, most=2, orders=1, rounds=1)
+    assert link_rows(short) == brute_links(every) and short.recall == 1.0
+    some = neighbours.near_vectors(df, k=4, most=8, orders=2, rounds=4, recall=0.0)  # only saturated vectors ask
+    got, want = {r[0]: r for r in link_rows(some)}, {r[0]: r for r in brute_links(every)}
+    assert sum(r[1] for r in got.values()) >= 0.9 * sum(r[1] for r in want.values())
+    assert all(got[i][1] <= want[i][1] for i in want)
+
+
+def test_neighbours_against_brute_force(sp):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((150, 16))
+    crowd = base[0] + 0.02 * rng.standard_normal((120, 16))
+    pairs = base[1:40] + 0.05 * rng.standard_normal((39, 16))
+    x = np.concatenate((base, crowd, pairs, base[:30], base[:5] * 3)).astype(np.float32)
+    rows = [(i, v.tolist(), i % 3, "x") for i, v in enumerate(x)]
+    odd = [(1000, None, 1, "x"), (1001, [0.0] * 16, 1, None), (1002, [float("nan")] * 16, 1, None),
+           (1003, [1.0] + [None] * 15, 1, None), (1004, x[0].tolist(), None, None), (1005, [], 1, None),
+           (1006, [1.0, 2.0], 1, None), (1007, [2.0, 4.0], 1, None), (1006, [1.0, 2.0], 1, None),
+           (None, x[2].tolist(), 2, None), (1008, [float("inf")] * 16, 1, None)]
+    df = sp.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>, label int, n_links string").repartition(3)
     found = neighbours.near_vectors(df, most=24)
     assert found.recall > 0.9
-    assert sorted(map(tuple, found.rows.collect()), key=repr) == sorted(want, key=repr)
+    assert link_rows(found) == brute_links([r[:3] for r in rows + odd])
     assert neighbours.near_vectors(df.limit(0)).rows.count() == 0
 
 
