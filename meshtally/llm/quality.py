@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshtally.llm.common import arrow_filter, arrow_map, remainder, sample
+from meshtally.llm.common import arrow_filter, arrow_map, bounded, remainder, sample
 
 SHAPES = 256
 DENSE = 7
@@ -37,7 +37,7 @@ def _shape(word: str) -> int:
         return "x" if run.islower() else "Xx" if run[1:].islower() else "XX" if run.isupper() and len(run) > 1 else "X"
 
     form = _RUNS[2].sub(r"\1\1", _RUNS[1].sub("0", _RUNS[0].sub(case, word)))
-    return zlib.crc32(form[:16].encode()) % SHAPES
+    return zlib.crc32(form.encode()) % SHAPES
 
 
 def features(text: str | None) -> np.ndarray:
@@ -147,28 +147,35 @@ def solve(good: np.ndarray, mixed: np.ndarray, prior: float | None = None, steps
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
-def _rows(docs: DataFrame) -> np.ndarray:
+def _rows(docs: DataFrame, limit: int) -> np.ndarray:
+    """Features of about ``limit`` different rows of ``docs`` (doc_id, text), twice that at most, by a hash of both."""
     def of(batch: pa.RecordBatch) -> dict:
-        return {"f": pa.array([features(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())}
+        return {"h": batch.column(1), "f": pa.array([features(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())}
 
-    held = arrow_map(docs.select("text"), of, "f binary").collect()
-    return np.array(sorted(np.frombuffer(r[0], np.float32).tolist() for r in held), np.float64).reshape(-1, WIDTH)
+    h = F.xxhash64("doc_id", "text", F.lit(7))
+    count = docs.agg(F.approx_count_distinct(h)).first()[0]
+    share = F.shiftrightunsigned(h, 11) / float(1 << 53)
+    drawn = docs.where(share < limit / max(1, count)).select("text", h.alias("h"))
+    # repeated rows shrink to one once they are features, which are short
+    held = bounded(arrow_map(drawn, of, "h bigint, f binary").dropDuplicates(["h"]), "h", 2 * limit).collect()
+    return np.array(sorted(np.frombuffer(r["f"], np.float32).tolist() for r in held), np.float64).reshape(-1, WIDTH)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, limit: int = 6000) -> Model:
     """Learn from ``labels`` (doc_id, quality) and ``docs`` (doc_id, text), leaving out the held fold of both.
 
-    About ``limit`` texts marked good and as many unlabelled ones, twice that at most. Ids
-    marked both good and bad are not trusted; NULL labels count as none.
+    About ``limit`` different rows marked good and as many unlabelled ones, twice that at most. Ids
+    marked both good and bad are not trusted; NULL labels count as none. However often a row or an id is repeated, a
+    row counts once.
     """
     marks = labels.where((remainder("doc_id", folds) != held) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("q"))
-    trusted = sample(marks.where("q = 1").select(F.col("doc_id").alias("_id")), limit, "_id")
+    trusted = sample(marks.where("q = 1").select(F.col("doc_id").alias("_id")), 2 * limit, "_id")
     learn = docs.where(remainder("doc_id", folds) != held)
     # the trusted ids are bounded, so the texts stay where they are
     good = learn.join(F.broadcast(trusted), F.col("doc_id") == F.col("_id"), "left_semi")
     shuffled = np.random.default_rng(5).permutation
-    p, u = _rows(good), _rows(sample(learn.select("doc_id", "text"), limit, "doc_id"))
+    p, u = _rows(good, limit), _rows(learn, limit)
     return solve(p[shuffled(len(p))], u[shuffled(len(u))])
 
 
@@ -191,7 +198,11 @@ def assess(docs: DataFrame, model: Model, folds: int = 4, held: int = 2, least:
 
 
 def good_only(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, with all their columns."""
+    """The rows of ``docs`` that score ``least`` or more, with all their columns.
+
+    NULL and empty texts score as texts without words; texts are read whole. Repeated rows stay or go together; with nothing
+    to learn from every score is 0.5. No rows give none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts: list[str | None]) -> list[bool]:

@@ -21,11 +21,10 @@ from meshtally.session import settle
 
 WORD = re.compile(r"[^\W\d_]+")
 GRADES = 4
-LONGEST = 64  # letters of a word that count
 
 
 def words(text: str | None) -> set[str]:
-    return {w[:LONGEST] for w in WORD.findall((text or "").lower())}
+    return set(WORD.findall((text or "").lower()))
 
 
 @dataclass
