@@ -28,7 +28,7 @@ WINDOW = 10
 # Patterns in one automaton: some 100 bytes each, several hundred as nodes.
 PATTERNS = 200_000
 
-_built: dict[str, tuple[ahocorasick.Automaton, list[list[str]]]] = {}
+_built: dict[tuple[str, int], tuple[ahocorasick.Automaton, list[list[str]]]] = {}
 
 
 def windows(text: bytes | None, size: int = WINDOW) -> list[bytes]:
@@ -53,10 +53,14 @@ def patterns(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
         F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def automaton(key: str, rows: list[tuple[bytes, list[str]]]) -> tuple[ahocorasick.Automaton, list[list[str]]]:
-    """The automaton over ``rows``, kept by the worker under ``key``; bytes are read as Latin-1 characters."""
+def automaton(key: tuple[str, int], rows: list[tuple[bytes, list[str]]]) -> tuple[ahocorasick.Automaton, list[list[str]]]:
+    """The automaton over ``rows``, kept by the worker under ``key``, a scanner's name and its block.
+
+    Built once for each block; those of other scanners go. Bytes are read as Latin-1 characters.
+    """
     if key not in _built:
-        _built.clear()
+        for other in [k for k in _built if k[0] != key[0]]:
+            del _built[other]
         machine = ahocorasick.Automaton()
         for n, (pattern, _) in enumerate(rows):
             machine.add_word(f" {pattern.decode('latin-1')} ", (n, len(pattern)))
@@ -109,7 +113,7 @@ def _blocks(benchmark: DataFrame, size: int) -> list:
 
 
 class Scanner:
-    """Scans texts with each block's automaton in turn; one is held at a time."""
+    """Scans texts with each block's automaton in turn; a worker builds each once."""
 
     def __init__(self, benchmark: DataFrame, size: int = WINDOW) -> None:
         self.name = uuid.uuid4().hex
@@ -121,7 +125,7 @@ class Scanner:
         spans: list[list[tuple[int, int]]] = [[] for _ in lines]
         items: list[set[str]] = [set() for _ in lines]
         for k, block in enumerate(self.blocks):
-            machine, names = automaton(f"{self.name}-{k}", block.value)
+            machine, names = automaton((self.name, k), block.value)
             if not names:
                 continue
             for i, line in enumerate(lines):
@@ -177,7 +181,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, spa
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no window of any item, with all their columns."""
+    """The rows of ``docs`` that hold no window of any item, with all their columns.
+
+    NULL and empty texts stay, as they hold none; texts are scanned whole. Repeated rows stay or go together; no rows give none.
+    """
     scanner = Scanner(benchmark, size)
 
     def keep(texts: list[str | None]) -> list[bool]:
