@@ -36,7 +36,7 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b in LETTERS else 32 for b in ran
 LEVELS = [1] + [2**i + 1 for i in range(40)]  # occurrences a term must have to reach each level
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 BITS = 12  # signature positions per entry of the fullest document of a block, at least
-BLOCK, ROWS, BYTES = 512, 4096, 32 << 20  # documents of a block; documents and bytes of text taken together
+BLOCK, ROWS, BYTES = 512, 4096, 16 << 20  # documents of a block; documents and bytes of text taken together
 BATCH = 128 << 10  # bytes of items searched for together
 KNOWN = 1 << 20  # hashes of terms that a task remembers
 
@@ -106,37 +106,42 @@ def build_index(df: DataFrame) -> Index:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        held: list[tuple[int, int, Counter]] = []
+        # of each document its entries, key, number of terms, most occurrences, hashes of its terms and how often each occurs
+        held: list[tuple[int, int, int, int, np.ndarray, np.ndarray]] = []
+        per_term: Counter = Counter()
         size = 0
 
+        def take(key: int, found: list[bytes]) -> None:
+            counts = Counter(found)
+            per_term.update(counts.keys())
+            tf = np.fromiter(counts.values(), np.int32, len(counts))
+            hashes = np.fromiter(map(known.__getitem__, counts), np.uint64, len(counts))
+            most = int(tf.max())
+            entries = len(tf) + sum(int((tf >= least).sum()) for least in LEVELS[1:1 + most.bit_length()])
+            held.append((entries, key, len(found), most, hashes, tf))
+
         def flush() -> Iterator[pa.RecordBatch]:
-            per_term: Counter = Counter()
-            docs = []
-            for key, n, counts in held:
-                per_term.update(counts.keys())
-                tf = np.fromiter(counts.values(), np.int64, len(counts))
-                hashes = np.fromiter(map(known.__getitem__, counts), np.uint64, len(counts))
-                entries = len(tf) + sum(int((tf >= least).sum()) for least in LEVELS[1:1 + int(tf.max()).bit_length()])
-                docs.append((entries, key, n, int(tf.max()), hashes, tf))
-            docs.sort(key=lambda d: (d[0], d[1]))
+            held.sort(key=lambda d: (d[0], d[1]))
             at = 0
-            while at < len(docs):
+            while at < len(held):
                 # fewer documents where signatures are long
-                count = min(BLOCK, max(8, (1 << 28) // (2 * BITS * docs[min(at + BLOCK, len(docs)) - 1][0])))
-                some = docs[at:at + count]
+                count = min(BLOCK, max(8, (1 << 27) // (2 * BITS * held[min(at + BLOCK, len(held)) - 1][0])))
+                some = held[at:at + count]
                 at += count
                 width, bits = _signature([d[4:] for d in some], np.array([d[0] for d in some]))
                 yield rows(kind="blocks", keys=[d[1] for d in some], n=[d[2] for d in some],
                            most=[d[3] for d in some], width=width, bits=bits)
             yield rows(kind="words", terms=list(per_term), df=list(per_term.values()),
-                       docs=len(held), length=sum(d[1] for d in held))
+                       docs=len(held), length=sum(d[2] for d in held))
             held.clear()
+            per_term.clear()
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = terms(text)
-                if found:
-                    held.append((key, len(found), Counter(found)))
+            keys = batch.column(0).to_pylist()
+            for key, text in zip(keys, batch.column(1)):
+                text = text.as_py()
+                if found := terms(text):
+                    take(key, found)
                     size += len(text)
                 if len(held) >= ROWS or size >= BYTES:
                     yield from flush()
@@ -180,8 +185,9 @@ def batches(items: DataFrame) -> Iterator[Batch]:
 def weigh(batch: Batch, index: Index) -> None:
     """Weights of the batch's terms from the documents that hold them."""
     mine = index.words.sparkSession.createDataFrame([(bytearray(t),) for t in batch.terms], "term binary")
+    # the terms of a batch come from ``BATCH`` bytes of items: small enough for every task
     found = index.words.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select(
-        F.col("x.terms").alias("term"), F.col("x.df").alias("df")).join(mine, "term", "left_semi").groupBy(
+        F.col("x.terms").alias("term"), F.col("x.df").alias("df")).join(F.broadcast(mine), "term", "left_semi").groupBy(
         "term").agg(F.sum("df").alias("df"))
     df = {bytes(r["term"]): r["df"] for r in found.collect()}  # at most the terms of the batch
     batch.weight = np.array([
@@ -193,28 +199,37 @@ def damping(n, total: int, length: int):
     return 100 - 75 + (75 * n * total) // length
 
 
+def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Block by block: a row may hold megabytes."""
+    for part in parts:
+        for i in range(part.num_rows):
+            yield part.slice(i, 1).to_pylist()[0]
+
+
 def bounds(block: dict, batch: Batch, hashes: np.ndarray, total: int, length: int) -> np.ndarray:
     """(items, documents of the block): no score is above its bound."""
     docs = len(block["keys"])
     rows = np.frombuffer(block["bits"], np.uint8).reshape(block["width"], -1)
     most = np.array(block["most"], np.int64)
-    often = np.zeros((len(hashes), docs), np.int64)  # upper bound of the occurrences
-    alive = np.arange(len(hashes))
-    holds = None
-    for level, least in enumerate(LEVELS):
-        if least > most.max() or not len(alive):
-            break
-        at = positions(hashes[alive], np.full(len(alive), level), block["width"])
-        bitmap = rows[at[:, 0]] & rows[at[:, 1]] & rows[at[:, 2]]
-        holds = bitmap if holds is None else holds & bitmap
-        some = holds.any(1)
-        alive, holds = alive[some], holds[some]
-        present = np.unpackbits(holds, axis=1, count=docs, bitorder="little").astype(bool)
-        upto = LEVELS[level + 1] - 1
-        often[alive] = np.where(present, upto, often[alive])
-    often = np.minimum(often, most[None, :])
     m = damping(np.array(block["n"], np.int64), total, length)
-    share = batch.weight[:, None] * ((1_000_000_000 * often) // (1000 * often + 8 * m[None, :]))
+    share = np.empty((len(hashes), docs), np.int64)
+    for start in range(0, len(hashes), 1024):
+        own = hashes[start:start + 1024]
+        often = np.zeros((len(own), docs), np.int64)  # upper bound of the occurrences
+        alive, holds = np.arange(len(own)), None
+        for level, least in enumerate(LEVELS):
+            if least > most.max() or not len(alive):
+                break
+            at = positions(own[alive], np.full(len(alive), level), block["width"])
+            bitmap = rows[at[:, 0]] & rows[at[:, 1]] & rows[at[:, 2]]
+            holds = bitmap if holds is None else holds & bitmap
+            some = holds.any(1)
+            alive, holds = alive[some], holds[some]
+            present = np.unpackbits(holds, axis=1, count=docs, bitorder="little").astype(bool)
+            often[alive] = np.where(present, LEVELS[level + 1] - 1, often[alive])
+        often = np.minimum(often, most[None, :])
+        share[start:start + 1024] = batch.weight[start:start + 1024, None] * (
+            (1_000_000_000 * often) // (1000 * often + 8 * m[None, :]))
     return np.stack([np.array(c, np.int64) @ share[t] if t else np.zeros(docs, np.int64) for _, t, c in batch.items])
 
 
@@ -244,14 +259,13 @@ def highest_bounds(index: Index, batch: Batch, k: int) -> DataFrame:
 
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = _Top(len(batch.items), k)
-        for part in parts:
-            for block in part.to_pylist():
-                bound = bounds(block, batch, hashes, total, length)
-                for item in np.flatnonzero(bound.max(1) >= [top.floor(i) for i in range(len(bound))]).tolist():
-                    own = bound[item]
-                    for at in np.argsort(-own, kind="stable")[:k].tolist():
-                        if own[at] >= top.floor(item):
-                            top.add(item, int(own[at]), None, block["keys"][at])
+        for block in _blocks(parts):
+            bound = bounds(block, batch, hashes, total, length)
+            for item in np.flatnonzero(bound.max(1) >= [top.floor(i) for i in range(len(bound))]).tolist():
+                own = bound[item]
+                for at in np.argsort(-own, kind="stable")[:k].tolist():
+                    if own[at] >= top.floor(item):
+                        top.add(item, int(own[at]), None, block["keys"][at])
         flat = [(i, e[0], e[3]) for i, heap in enumerate(top.heaps) for e in heap]
         yield pa.RecordBatch.from_pydict({
             name: pa.array([f[j] for f in flat], pa.int64()) for j, name in enumerate(("item", "bound", "key"))})
@@ -268,11 +282,10 @@ def candidates(index: Index, batch: Batch, floors: np.ndarray) -> DataFrame:
     total, length = index.n, index.length
 
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for block in part.to_pylist():
-                item, doc = np.nonzero(bounds(block, batch, hashes, total, length) >= floors[:, None])
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(np.array(block["keys"], np.int64)[doc]), "item": pa.array(item.astype(np.int64))})
+        for block in _blocks(parts):
+            item, doc = np.nonzero(bounds(block, batch, hashes, total, length) >= floors[:, None])
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(np.array(block["keys"], np.int64)[doc]), "item": pa.array(item.astype(np.int64))})
 
     # equal rows stand in several blocks, whose bounds may differ
     return settle(index.blocks.mapInArrow(of, "key bigint, item bigint").distinct().groupBy("key").agg(
