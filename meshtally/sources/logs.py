@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,21 @@ def _parts(hit: str, fields: Sequence[str], otherwise: Column) -> Column:
     return F.when(F.size(parts) == len(fields), parts).otherwise(otherwise)
 
 
+def _body(value: str) -> Column:
+    """What follows the first bracket, its blanks removed: it tells most formats apart."""
+    return F.ltrim(F.expr(f"substring(`{value}`, instr(`{value}`, ']') + 1, 32)"))
+
+
+def _may_match(p: Pattern, value: str, body: Column) -> Column | None:
+    """A cheap test that every matching line passes; None where there is none."""
+    tests = [F.contains(F.col(value), F.lit(p.needs))] if p.needs else []
+    if p.begins:
+        # a body that starts with white space other than a blank is left to the regex
+        odd = (body < "!") | (body > "~")
+        tests.append(reduce(lambda a, b: a | b, [F.startswith(body, F.lit(b)) for b in p.begins], odd))
+    return reduce(lambda a, b: a & b, tests) if tests else None
+
+
 def parse(lines: DataFrame, pattern: str | Pattern, value: str = "value",
           keep: Iterable[str] | None = None) -> DataFrame:
     """Typed rows of the lines that match; a missing field is NULL.
@@ -84,8 +100,9 @@ def parse(lines: DataFrame, pattern: str | Pattern, value: str = "value",
     fields = list(p.groups)
     kept = [c for c in lines.columns if c != value] if keep is None else list(keep)
     kept = [c for c in kept if c not in fields]
-    if p.needs:
-        lines = lines.where(F.contains(F.col(value), F.lit(p.needs)))
+    test = _may_match(p, value, _body(value))
+    if test is not None:
+        lines = lines.where(test)
     repaired = lines.select(*kept, _whole_line(p, value).alias("_line"))
     hits = repaired.select(
         *kept, "_line", F.explode(F.array(_joined(p, F.col("_line"), fields))).alias("_hit"),
@@ -106,7 +123,8 @@ def route(lines: DataFrame, names: Sequence[str], value: str = "value", rejects:
 
     Patterns are not exclusive: a line gives one row per pattern it matches,
     with NULL in the fields that pattern does not have. A field whose type
-    differs between the patterns is text.
+    differs between the patterns is text. The body of a line decides which expressions it meets, so
+    more formats cost little.
 
     With ``rejects`` a line that matches none gives a row of that pattern. ``failed`` then lists a row's fields whose
     text does not fit their type, and ``line`` holds the text of unmatched lines and of those with such fields.
@@ -118,13 +136,16 @@ def route(lines: DataFrame, names: Sequence[str], value: str = "value", rejects:
     def tagged(p: Pattern) -> Column:
         found = _joined(p, _whole_line(p, value), fields)
         # the cheap test guards the regex: a CASE branch runs only when chosen
-        found = F.when(F.contains(F.col(value), F.lit(p.needs)), found) if p.needs else found
+        test = _may_match(p, value, F.col("_body"))
+        found = F.when(test, found) if test is not None else found
         return F.struct(F.lit(p.name).alias("pattern"), found.alias("_hit"))
 
     def is_hit(hit: Column) -> Column:
         return (F.startswith(hit, F.lit(_HIT)) & (hit != F.col(value))
                 & (hit != F.replace(F.col(value), F.lit(".-"), F.lit("."))))
 
+    # once per line for all patterns
+    lines = lines.select(*kept, value, _body(value).alias("_body"))
     every = F.array(*[tagged(p) for p in patterns])
     if rejects is None:
         hits = lines.select(*kept, value, F.inline(every)).where(is_hit(F.col("_hit")))

@@ -46,6 +46,17 @@ FIELD_TYPES = {
     "op_duration": "bigint", "active": "int", "code": "int",
     "timestamp": "timestamp", "packet": "string",
 }
+# What can stand right behind the module's bracket in a line of each format.
+BEGINS = {
+    "app": ("TX", "RX"),
+    "sdn": ("OUT", "BUF", "IN"),
+    "sdn-any-state": ("OUT", "BUF", "IN", "TX", "RX"),
+    "icmp": ("type:", "code:"),
+    "node": ("h:",),
+    "join": ("n:", "c:", "dag:", "dao:"),
+    "pow": ("PW", "/"),
+    "all": ("TX", "RX"),
+}
 # ---------------------------------------------------------------------------
 
 # Tags taken literally: a source number never lands in the epoch.
@@ -67,6 +78,8 @@ class Pattern:
     needs: str = ""
     # Repair ``.-`` to ``.`` before matching (negative fractions in power lines).
     repair: bool = True
+    # Texts, one of which follows the first ``]`` and white space in every matching line: others skip the regex.
+    begins: tuple[str, ...] = ()
 
     @property
     def groups(self) -> dict[str, int]:
@@ -101,9 +114,9 @@ _registry: dict[str, Pattern] = {}
 
 
 def register_pattern(name: str, regex: str, types: dict[str, str] | None = None,
-                     prefix: str = PREFIX, needs: str = "", repair: bool = True) -> Pattern:
+                     prefix: str = PREFIX, needs: str = "", repair: bool = True, begins: tuple[str, ...] = ()) -> Pattern:
     """Add or replace a pattern; ``prefix`` is put before ``regex``."""
-    pattern = Pattern(name, prefix + regex, dict(types or {}), needs, repair)
+    pattern = Pattern(name, prefix + regex, dict(types or {}), needs, repair, tuple(begins))
     if not pattern.groups:
         raise ValueError(f"pattern {name!r} has no named groups")
     _registry[name] = pattern
@@ -126,8 +139,8 @@ for _name, _text in PATTERNS_TEXT.items():
     register_pattern(
         _name, _text,
         types={"type": "int"} if _name == "icmp" else None,
-        needs="ep:" if _name.startswith("atomic-") else "[STAT:",
+        needs="ep:" if _name.startswith("atomic-") else "[STAT:", begins=BEGINS.get(_name, ()),
     )
-register_pattern("sdn-any-state", SDN_ANY_STATE, needs="[STAT:")
+register_pattern("sdn-any-state", SDN_ANY_STATE, needs="[STAT:", begins=BEGINS["sdn-any-state"])
 register_pattern("testbed", TESTBED_TEXT, {"id": "bigint"}, TESTBED_PREFIX, "D:", repair=False)
 register_pattern("testbed-strict", TESTBED_STRICT, {"id": "bigint"}, TESTBED_PREFIX, "D:", repair=False)
