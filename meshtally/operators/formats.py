@@ -78,7 +78,7 @@ def format_energy(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def format_atomic_energy(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Projection; time and line number stay, as rows have no order of their own."""
-    order = [c for c in ("time", "line_id") if c in rows.columns]
+    order = [c for c in ("time", "line", "line_id") if c in rows.columns]
     return rows.select(*by, "epoch", "node", "module", "type", "n_phases", "hops", "gon", "ron", "con",
                        "all_rdc", "rdc", *order)
 

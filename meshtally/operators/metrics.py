@@ -215,7 +215,7 @@ def hops_of_nodes(packets: DataFrame, skip_node: int = 1, by: Sequence[str] = ()
     return modes(rows, [*by, "node"], ["hops"])
 
 
-def energy_by_hops(energy: DataFrame, nodes: DataFrame | None = None, order: Sequence[str] = ("time", "line_id"),
+def energy_by_hops(energy: DataFrame, nodes: DataFrame | None = None, order: Sequence[str] = ("time", "line", "line_id"),
                    low: int = 1, high: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """(hops, rdc): last duty cycle of each node, averaged per hop count.
 

@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from meshtally.operators.formats import register_formatter
 from meshtally.plans import views as V
 from meshtally.plans.catalog import query
-from meshtally.plans.experiment import analyse
+from meshtally.plans.experiment import Metric, analyse, register_metric, register_profile
 from meshtally.plans.queries_logs import _FLAT, PAIRS
 from meshtally.plans.queries_sources import _flat_lines, _head, _tag
 from meshtally.plans.queries_tables import _cdf_sql
 from meshtally.session import scratch_dir
+from meshtally.sources.patterns import register_pattern
 
 START, SCALE = 1_704_067_200_000_000, 10_000  # the month of events becomes some minutes
 
@@ -110,3 +112,37 @@ def experiment_layered(spark, sf):
 def experiment_flat(spark, sf):
     """Hops of a node are those of the packets it sent."""
     return _runs(spark, sf, lambda p: _flat_lines(p, "g").select("g", "value"), "flat", ["all", "pow", "node", "join"], COMMON)
+
+
+# --- own formats, tables and metrics -----------------------------------------
+
+def _register_beacons() -> None:
+    """A format, its table, a metric on it and a profile's name, as a user adds them."""
+    register_pattern("beacon", r"\s*\[BEACON\]\s*(?P<state>UP|DOWN)(?:\s+b:(?P<battery>\d+\.\d+)|\s+n:(?P<degree>\d+))+.*?$",
+                     {"battery": "double"}, needs="[BEACON]", begins=("UP", "DOWN"))
+    register_formatter("beacon", lambda rows, by=(): rows.where("state = 'UP'").groupBy(*by, "node").agg(
+        F.avg("battery").alias("battery"), F.max("degree").alias("degree")))
+    register_profile("own", "layered")
+    register_metric("battery_v_degree", Metric(
+        lambda df, tables, by, profile: df.groupBy(*by, F.col("degree").alias("x")).agg(F.avg("battery").alias("y")),
+        {"layered": ["beacon"]}, "bar", "Degree", "Battery (V)"))
+
+
+@query("experiment_own", f"""
+WITH {V.PLOG},
+b AS (SELECT 'run-' || (g % 2) AS run, node, avg(value) AS battery, max(k % 9) AS degree FROM plog WHERE event_type IN ('view', 'click') GROUP BY ALL),
+p AS (SELECT run, degree, avg(battery) AS y FROM b GROUP BY ALL)
+SELECT run, 'battery' AS metric, 'bar' AS kind, row_number() OVER (PARTITION BY run ORDER BY degree) - 1 AS pos,
+  CAST(degree AS VARCHAR) AS x, round(y, 6) AS y FROM p""")
+def experiment_own(spark, sf):
+    """A registered format through its own formatter and metric."""
+    _register_beacons()
+    p = V.plog(spark, sf)
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    state = F.when(F.col("event_type").isin("view", "click"), "UP").otherwise("DOWN")
+    lines = p.withColumn("cents", cents).select(
+        V.line(F.col("time"), ": ", F.col("node"), ": [BEACON] ", state, " n:", F.col("k") % 9, " b:", F.expr("cents div 100"), ".",
+               F.lpad((F.col("cents") % 100).cast("string"), 2, "0")).alias("value"),
+        F.concat(F.lit("run-"), F.col("g") % 2).alias("run"))
+    _, result = analyse(lines, "own", ["beacon"], {"battery_v_degree": {"file": "battery"}}, by=["run"])
+    return result.select("run", "metric", "kind", "pos", "x", F.round("y", 6).alias("y"))

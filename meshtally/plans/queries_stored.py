@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshtally.operators import formats, runs, sketches
 from meshtally.operators.process import merge
-from meshtally.operators.ranks import last_value
+from meshtally.operators.ranks import last_value, numbered
 from meshtally.operators.reconcile import reconcile, reconcile_stored, round_trips, store_events
 from meshtally.operators.sessions import part_reused
 from meshtally.plans import views as V
@@ -252,3 +254,27 @@ def param_grid_large(spark, sf):
     made = runs.grid(one, ["x", "y", "z"])
     total = F.col("params")["x"].cast("bigint") * 1000 + F.col("params")["y"].cast("bigint") * 10 + F.col("params")["z"].cast("bigint")
     return made.groupBy((F.col("x") % 7).alias("x7")).agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("total"))
+
+
+# --- numbers in the order of any type ----------------------------------------
+
+_ORDERS = {
+    "text": ("o_orderpriority", "o_orderpriority"),
+    "date": ("CAST(o_orderdate AS DATE)", "CAST(o_orderdate AS DATE)"),
+    "timestamp": ("o_orderdate", "o_orderdate"),
+    "bigint": ("1152921504606846976 - o_custkey", "1152921504606846976 - o_custkey")}
+
+
+@query("numbered_types", " UNION ALL ".join(
+    f"""SELECT '{kind}' AS kind, o_orderstatus, o_orderkey,
+  row_number() OVER (PARTITION BY o_orderstatus ORDER BY {sql}, o_orderkey) - 1 AS pos FROM orders"""
+    for kind, (_, sql) in _ORDERS.items()))
+def numbered_types(spark, sf):
+    """Rows of each group numbered in the order of a text, a date, a time and a number near 2^60."""
+    orders = V.table(spark, sf, "orders")
+    parts = []
+    for kind, (column, _) in _ORDERS.items():
+        rows = orders.select("o_orderstatus", "o_orderkey", F.expr(column).alias("at"))
+        parts.append(numbered(rows, ["o_orderstatus"], "at", "o_orderkey").select(
+            F.lit(kind).alias("kind"), "o_orderstatus", "o_orderkey", "pos"))
+    return reduce(DataFrame.unionByName, parts)
