@@ -2,7 +2,7 @@
 
 A document's place depends only on how many open bins have which gap, so pieces
 of one length are interchangeable: the rule runs on the counts of the lengths
-(at most ``size`` numbers, whatever the corpus holds) and yields, per length, runs
+(at most ``size`` numbers, whatever the corpus holds), exactly as if piece by piece, and yields, per length, runs
 of ranks with the sequences they go to. The pieces are then numbered within
 their length, in parallel, and each takes the place of its number.
 """
@@ -13,6 +13,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush, heapreplace
 from itertools import filterfalse
 
 import numpy as np
@@ -131,84 +132,189 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1) -> D
         run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 
 
-def sum_of_squares(counts: dict[int, int], size: int = 4096, share: int = 8) -> list[tuple[int, int, int, int, int]]:
+class Gaps:
+    """Counts of open bins by gap, while pieces of one ``length`` are placed.
+
+    A move puts a piece into a bin of gap g, or a new one (g = ``size``), which then has gap g - ``length``. Its worth is what
+    it takes off the sum of squares (odd: bins that fill up, and new ones, change one count only). A move lowers its
+    own worth and raises that of others, so what can be done stays so until it is done, and the moves
+    worth more than a level have one outcome in whatever order they are made. The rule, one by one, makes all of
+    those before any other; so they are made many at a time, level after level, and one by one only within the last.
+    """
+
+    FEW = 200  # pieces that are placed one by one at once
+
+    def __init__(self, size: int) -> None:
+        self.size, self.n = size, np.zeros(size + 1, np.int64)
+
+    def _worth(self, n: np.ndarray, length: int) -> np.ndarray:
+        """Of moves from the gaps length .. size; those without a bin count as well here."""
+        w = 2 * (n[length:] - np.concatenate(([0], n[1:self.size - length + 1]))) - 2
+        w[0] += 1
+        w[-1] = -2 * n[self.size - length] - 1
+        return w
+
+    def _down_to(self, length: int, level: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """(moves by gap, counts after) of all moves worth more than ``level``; None if more than ``most`` or without end."""
+        n, moves, total = self.n.copy(), np.zeros(self.size - length + 1, np.int64), 0
+        step = np.full(len(moves), 4)  # that a move lowers its worth by
+        step[0] = step[-1] = 2
+        seen, sweeps, due = n.copy(), 0, 1
+        while True:
+            some = np.maximum(0, -((level - self._worth(n, length)) // step))
+            some[:-1] = np.minimum(some[:-1], n[length:self.size])
+            if not (made := int(some.sum())):
+                return moves, n
+            total += made
+            if total > most:
+                return None
+            moves += some
+            n[length:self.size] -= some[:-1]
+            n[1:self.size - length + 1] += some[1:]
+            sweeps += 1
+            if np.array_equal(n, seen):
+                return None
+            if sweeps == due:
+                seen, due = n.copy(), 2 * due
+
+    def _one_by_one(self, length: int, left: int) -> np.ndarray:
+        """Moves by gap of the next ``left`` pieces; of equal ones the smallest gap, a new bin last."""
+        n, size, moves = self.n.tolist(), self.size, np.zeros(self.size - length + 1, np.int64)
+
+        def cost(g: int) -> int:
+            if g == size:
+                return 2 * n[size - length] + 1
+            return 1 - 2 * n[g] if g == length else 2 * (n[g - length] - n[g]) + 2
+
+        heap = [(cost(g), g) for g in range(length, size) if n[g]] + [(cost(size), size)]
+        heapify(heap)
+        # the moves since a mark, and the counts that differ from then: none, and they go on in the same round
+        own: dict[int, int] = {}
+        apart: dict[int, int] = {}
+        since, due, watch = 0, 16, True
+        while left:
+            known, g = heap[0]
+            if g < size and not n[g]:
+                heappop(heap)
+                continue
+            if known != (now := cost(g)):
+                heapreplace(heap, (now, g))
+                continue
+            for gap, d in ((g, -1), (g - length, 1)):
+                if 0 < gap < size:
+                    n[gap] += d
+                    if d := apart.pop(gap, 0) + d:
+                        apart[gap] = d
+            moves[g - length] += 1
+            own[g] = own.get(g, 0) + 1
+            left, since = left - 1, since + 1
+            for gap in (g - length, g + length):  # worth more now
+                if length <= gap < size and n[gap] or gap == size:
+                    heappush(heap, (cost(gap), gap))
+            if watch and not apart and left >= since:
+                rounds = left // since
+                for gap, k in own.items():
+                    moves[gap - length] += rounds * k
+                left, watch = left - rounds * since, False
+            elif watch and since == due:
+                own, apart, since, due = {}, {}, 0, 2 * due
+        self.n = np.array(n, np.int64)
+        return moves
+
+    def take(self, length: int, count: int) -> np.ndarray:
+        """Place ``count`` pieces; the moves from each of the gaps length .. size."""
+        moves = np.zeros(self.size - length + 1, np.int64)
+        if length == self.size:
+            moves[-1] = count
+            return moves
+        left, depth = count, 1
+        while left > self.FEW and depth:
+            there = np.append(self.n[length:self.size] > 0, True)
+            best = int(self._worth(self.n, length)[there].max())
+            if (done := self._down_to(length, best - depth, left)) is None:
+                depth //= 2
+                continue
+            moves += done[0]
+            left -= int(done[0].sum())
+            self.n = done[1]
+            depth *= 2
+        return moves + self._one_by_one(length, left) if left else moves
+
+
+def sum_of_squares(counts: dict[int, int], size: int = 4096) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, how many, first sequence, offset) that place every piece.
 
     Longest first, each piece goes to the open bin, or a new one, that leaves the sum over the
-    gaps of squared counts of open bins smallest; of equal choices the fullest bin. Of many
-    pieces of one length, an ``share``-th of those left is placed at a time, the last ones one
-    by one: the steps for a length grow with the logarithm of its count.
+    gaps of squared counts of open bins smallest; of equal choices the fullest bin. Counts after each length are those
+    of placing piece by piece, whatever the numbers (see ``Gaps``).
     """
-    open_bins: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # by gap: (first sequence, how many)
-    n = np.zeros(size + 1, np.int64)
+    gaps = Gaps(size)
+    bins: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # by gap: (first sequence, how many)
     placed: list[tuple[int, int, int, int, int]] = []
     new = 0
     for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            take = max(1, left // share)
-            # a bin with gap g gets gap g - length; full bins and g = size (a new bin) are not counted
-            gain = 2 * (np.concatenate(([0], n[1:size - length + 1])) - n[length:]) + 2
-            gain[0] -= 1
-            closed = n[length:] == 0
-            gain[closed] = np.iinfo(np.int64).max
-            gain[-1] = 2 * n[size - length] + 1 if length < size else 0
-            gap = int(np.argmin(gain)) + length
+        rank = 0
+        moves = gaps.take(length, counts[length])
+        # from the widest gap on: bins that came from a wider one may go on
+        for gap in (np.flatnonzero(moves)[::-1] + length).tolist():
+            need = int(moves[gap - length])
             if gap == size:
-                runs = [(new, take)]
-                new += take
-            else:
-                runs, take = [], min(take, int(n[gap]))
-                n[gap] -= take
-                need = take
-                while need:
-                    first, many = open_bins[gap].pop()
-                    if many > need:
-                        open_bins[gap].append((first + need, many - need))
-                        many = need
-                    runs.append((first, many))
-                    need -= many
-            rest = gap - length
-            for first, many in runs:
+                bins[gap] = [(new, need)]
+                new += need
+            while need:
+                first, many = bins[gap].pop()
+                if many > need:
+                    bins[gap].append((first + need, many - need))
+                    many = need
                 placed.append((length, rank, many, first, size - gap))
                 rank += many
-                if rest:
-                    open_bins[rest].append((first, many))
-            if rest:
-                n[rest] += take
-            left -= take
+                need -= many
+                if gap > length:
+                    bins[gap - length].append((first, many))
     return placed
 
 
-def place(cut: DataFrame, size: int = 4096, spread: int = 256) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to the columns of ``cut`` (doc_id, piece, length and others).
+PART = 50_000  # pieces of one length that are numbered in one task
+
+
+def place(cut: DataFrame, size: int = 4096) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to the columns of ``cut`` (length and others).
 
-    Pieces of a length are numbered in ``spread`` parts, so one very frequent length is not
-    sorted in one task. Equal rows may swap places. ``cut`` is read twice: settle it first.
+    Pieces of a length are dealt to as many parts as their number asks for, numbered inside each, and
+    matched with the runs in their order: a run serves the pieces that stand between its begin and the next one's. Runs are
+    cut where a stretch of ``PART`` numbers ends, so no task holds more of a length than that. ``cut`` is
+    read twice and must be written out.
     """
     spark = cut.sparkSession
-    cut = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spread)).cast("int"))
-    parts = settle(cut.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")))
-    counts = {r[0]: r[1] for r in parts.groupBy("length").agg(F.sum("_n")).collect()}  # at most ``size`` rows
-    runs: dict[int, list[tuple[int, int, int, int]]] = {}
-    for length, *run in sum_of_squares(counts, size):
-        runs.setdefault(length, []).append(tuple(run))
-    table = spark.createDataFrame(
-        list(runs.items()), "_length bigint, _runs array<struct<first: bigint, many: bigint, seq: bigint, off: bigint>>")
-    w = W.partitionBy("length").orderBy("_part")
-    starts = parts.withColumn("_from", F.sum("_n").over(w) - F.col("_n")).select(
-        F.col("length").alias("_l"), F.col("_part").alias("_p"), "_from")
-    inside = W.partitionBy("length", "_part").orderBy("doc_id", "piece")
-    ranked = cut.withColumn("_rank", F.row_number().over(inside) - 1).join(
-        starts, (F.col("length") == F.col("_l")) & (F.col("_part") == F.col("_p")))
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_from"))
-    # at most ``size`` rows with a bounded number of runs each
-    found = ranked.join(F.broadcast(table), F.col("length") == F.col("_length")).withColumn(
-        "_run", F.filter("_runs", lambda r: (r["first"] <= F.col("_rank")) & (F.col("_rank") < r["first"] + r["many"]))[0])
+    counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
+    many = spark.createDataFrame([(n, -(-c // PART)) for n, c in counts.items()], "_l int, _many bigint")
+    dealt = settle(cut.join(F.broadcast(many), F.col("length") == F.col("_l")).withColumn(
+        "_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_many"))).drop("_l", "_many").withColumn(
+        "_row", F.monotonically_increasing_id()))
+    parts = dealt.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("length").orderBy("_part")) - F.col("_n")
+    starts = parts.select(F.col("length").alias("_l"), F.col("_part").alias("_p"), before.alias("_from"))
+    inside = W.partitionBy("length", "_part").orderBy("_row")
+    ranked = dealt.withColumn("_rank", F.row_number().over(inside) - 1).join(
+        starts, (F.col("length") == F.col("_l")) & (F.col("_part") == F.col("_p"))).withColumn(
+        "_rank", F.col("_rank") + F.col("_from")).drop("_l", "_p", "_from", "_part", "_row")
+    runs = [[], [], [], []]
+    for length, first, many_, sequence, offset in sum_of_squares(counts, size):
+        while many_:
+            some = min(many_, PART - first % PART)
+            for column, value in zip(runs, (length, first, sequence, offset)):
+                column.append(value)
+            first, sequence, many_ = first + some, sequence + some, many_ - some
+    table = settle(spark.createDataFrame(pa.table(dict(zip(
+        ("length", "_rank", "_sequence", "_offset"), [pa.array(c, pa.int64()) for c in runs])))))
+    run = table.select("length", "_rank", F.struct(F.col("_rank").alias("first"), "_sequence", "_offset").alias("_run"))
+    both = ranked.withColumn("_piece", F.lit(True)).unionByName(run, allowMissingColumns=True)
+    stretch = W.partitionBy("length", F.expr(f"_rank div {PART}")).orderBy("_rank", F.col("_run").isNull())
+    found = both.withColumn("_run", F.last("_run", ignorenulls=True).over(
+        stretch.rowsBetween(W.unboundedPreceding, 0))).where("_piece")
     return found.select(
-        *[c for c in cut.columns if c != "_part"],
-        (F.col("_run.seq") + F.col("_rank") - F.col("_run.first")).alias("sequence_id"),
-        F.col("_run.off").alias("offset"))
+        *cut.columns, (F.col("_run._sequence") + F.col("_rank") - F.col("_run.first")).alias("sequence_id"),
+        F.col("_run._offset").alias("offset"))
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -210,7 +211,39 @@ def test_state_maps_compose_in_any_grouping():
             left = machine.then(machine.then(maps[0], maps[1]), maps[2])
             assert machine.total(right) == machine.total(left)
         if maps:
-            assert machine.total(machine.scan(maps)[-1]) == want
+            assert machine.total(machine.reduce(maps)) == want
+
+
+def test_counts_come_from_the_merges(monkeypatch):
+    """Parts of any bytes, read in order, against the library; and no library where tokens are counted."""
+    machine, tokenizer = tokens.Transducer.at(BPE), Tokenizer.from_file(BPE)
+    assert not hasattr(machine, "tokenizer")
+    rng = np.random.default_rng(1)
+    parts = sorted({"".join(rng.choice(list("abehinorst"[:rng.integers(1, 11)]), rng.integers(1, 60))) for _ in range(800)})
+    want = [len(tokenizer.encode(p, add_special_tokens=False).ids) for p in parts]
+    assert machine.merges.read([p.encode() for p in parts]) == want
+    text = "".join(chr(c) for c in rng.integers(0x20, 0x2fff, 60000))
+    assert machine.counts([text]) == [len(tokenizer.encode(text, add_special_tokens=False).ids)]
+
+
+def test_long_texts_without_blanks_take_linear_time(sp):
+    machine, tokenizer = tokens.Transducer.at(BPE), Tokenizer.from_file(BPE)
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcdefghij"), 1_500_000))
+    spent = []
+    for size in (len(text) // 4, len(text)):
+        maps = [machine.state_map(text[i:i + 4096]) for i in range(0, size, 4096)]
+        machine.parts.clear()
+        machine.emits.clear()
+        start = time.perf_counter()
+        n = machine.total(machine.reduce([*maps[:-1], machine.state_map(text[(len(maps) - 1) * 4096:size])]))
+        spent.append(time.perf_counter() - start)
+        assert n == len(tokenizer.encode(text[:size], add_special_tokens=False).ids)
+    assert spent[1] < 8 * spent[0]
+    df = sp.createDataFrame([(1, text[:400_000]), (2, text[:400_000]), (3, "日本" * 50_000)], "doc_id bigint, text string")
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in (text[:400_000], text[:400_000], "日本" * 50_000)]
+    got = tokens.token_counts(df, BPE, chunk=10_000).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in got] == want
 
 
 # --- 4 toxicity, 5 quality, 7 language: held-out accuracy
@@ -236,6 +269,82 @@ def test_toxicity_learns(sp):
     assert severe > np.mean([got[i]["severity"] for i in got if i % 4 == 0 and i % 5 == 0]) > 0.5
 
 
+def test_ordinal_gradient_against_differences():
+    """One Adam step from zero follows the sign of the numeric gradient of the likelihood."""
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(60)]
+    grades = rng.integers(0, 4, 60)
+    weight = np.where(grades > 0, 0.5 / (grades > 0).sum(), 0.5 / (grades == 0).sum())
+
+    def loss(x):
+        w, cuts = x[:6], x[6:]
+        total = 0.0
+        for held, g, own in zip(rows, grades, weight):
+            over = [1.0, *(1 / (1 + np.exp(cuts - w[held].sum()))), 0.0]
+            total -= own * np.log(over[g] - over[g + 1])
+        return total
+
+    x = np.array([0.0] * 6 + [1.0, 2.0, 3.0])
+    numeric = np.array([(loss(x + e) - loss(x - e)) / 2e-5 for e in np.eye(9) * 1e-5])
+    w, cuts = toxicity.solve(rows, grades, 6, steps=1, rate=0.01, shrink=0.0)
+    step = np.concatenate((w, cuts - [1.0, 2.0, 3.0]))
+    assert (np.sign(step) == -np.sign(numeric)).all() and np.allclose(np.abs(step[:6]), 0.01, rtol=0.1)
+    far = toxicity.solve(rows, grades, 6, steps=600, rate=0.02, shrink=0.0)
+    assert loss(np.concatenate(far)) < loss(x)
+
+
+def test_non_negative_risk_by_hand():
+    """The solution is near a minimum of the risk as its definition reads, found without its gradient."""
+    rng = np.random.default_rng(6)
+    good, mixed = rng.normal(1, 1, (200, 2)), np.concatenate((rng.normal(1, 1, (60, 2)), rng.normal(-1, 1, (140, 2))))
+    model = quality.solve(good, mixed, prior=0.3, steps=1500, decay=0.0)
+
+    def risk(w, b):
+        ready = lambda x: np.clip((x - model.mean) / model.scale, -6, 6) @ w + b
+        zp, zu = ready(good), ready(mixed)
+        bad = np.log1p(np.exp(zu)).mean() - 0.3 * np.log1p(np.exp(zp)).mean()
+        return 0.3 * np.log1p(np.exp(-zp)).mean() + max(0.0, bad)
+
+    best = risk(model.weights, model.bias)
+    for _ in range(300):
+        assert risk(model.weights + rng.normal(0, 0.3, 2), model.bias + rng.normal(0, 0.3)) > best - 2e-3
+    assert abs(quality.estimate_prior(np.c_[good, np.ones(200)], np.c_[mixed, np.ones(200)]) - 0.3) < 0.25
+
+
+def test_kernel_twin():
+    """Outputs through the folded matrix are those of kernels counted n-gram by n-gram."""
+    texts = [b"the cat sat on the mat", b"Der Hund sa\xc3\x9f im Garten", b"le chat est sur la table", b"a cat and the dog",
+             b"die Katze im Haus", b"la table est l\xc3\xa0", b"x", b"", bytes(range(256)) * 40]
+    labels = ["en", "de", "fr", "en", "de", "fr", "en", "de", "fr"]
+
+    def grams(t):
+        return {t.lower()[i:i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)}
+
+    def kernel(a, b):
+        return len(grams(a) & grams(b)) / np.sqrt(max(1, len(grams(a))) * max(1, len(grams(b))))
+
+    marks = texts[:6]
+    for t in texts:
+        assert len(language.presence(t)) == len(grams(t))
+    sets = language.Landmarks([language.presence(t) for t in marks])
+    k = np.array([[kernel(t, m) for m in marks] for t in texts])
+    gram = np.array([[kernel(a, b) for b in marks] for a in marks])
+    assert np.allclose(sets.kernels([language.presence(t) for t in texts]), k)
+    model = language.solve(sets, gram, k, labels, 0.1)
+    # the same by hand: features whitened on the landmarks, one weighted ridge for each language
+    values, vectors = np.linalg.eigh(gram)
+    white = vectors / np.sqrt(values)
+    f = k @ white
+    w = np.array([9 / (3 * labels.count(l)) for l in labels])
+    want = np.zeros((9, 3))
+    for j, name in enumerate(["de", "en", "fr"]):
+        y = np.where(np.array(labels) == name, 1.0, -1.0)
+        fm, ym = (w @ f) / w.sum(), (w @ y) / w.sum()
+        beta = np.linalg.solve((f - fm).T @ np.diag(w) @ (f - fm) + 0.1 * np.eye(6), (f - fm).T @ np.diag(w) @ (y - ym))
+        want[:, j] = (f - fm) @ beta + ym
+    assert np.allclose(model.outputs(texts), want, atol=1e-3)
+
+
 def test_classifiers_on_awkward_rows(sp, docs, empty):
     none = sp.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for d in (docs, empty):
@@ -324,6 +433,50 @@ def test_words_are_the_tokenizers():
     assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == want
 
 
+def brute_sum_of_squares(counts, size):
+    """Counts of open bins by gap, and of all bins, piece by piece."""
+    n, new = [0] * (size + 1), 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            best = None
+            for g in [*(g for g in range(length, size) if n[g]), size]:
+                after = {g: n[g] - 1} if g < size else {}
+                if 0 < g - length < size:
+                    after[g - length] = n[g - length] + 1
+                change = sum(v * v - n[k] * n[k] for k, v in after.items())
+                if best is None or change < best[0]:
+                    best = (change, g)
+            g = best[1]
+            new += g == size
+            n[g] -= g < size
+            n[g - length] += 0 < g - length < size
+    return n[1:size], new
+
+
+@pytest.mark.parametrize("few", [0, 200])
+def test_sum_of_squares_is_that_of_piece_by_piece(monkeypatch, few):
+    monkeypatch.setattr(packing.Gaps, "FEW", few)
+    rng = np.random.default_rng(3)
+    for size, most, total in ((32, 32, 900), (32, 9, 1500), (40, 40, 600), (24, 3, 900), (30, 15, 1200)):
+        lengths = rng.integers(1, most + 1, total) if few else rng.choice([1, 2, 5, most, max(1, most // 2)], total)
+        values, numbers = np.unique(lengths, return_counts=True)
+        counts = dict(zip(values.tolist(), numbers.tolist()))
+        runs = packing.sum_of_squares(counts, size)
+        used, taken = {}, {}
+        for length, first, many, sequence, offset in runs:
+            assert first == taken.get(length, 0)  # ranks without holes
+            taken[length] = first + many
+            for s in range(sequence, sequence + many):
+                assert used.get(s, 0) == offset
+                used[s] = offset + length
+        assert taken == counts
+        open_bins = [0] * (size + 1)
+        for full in used.values():
+            open_bins[size - full] += 1
+        want, new = brute_sum_of_squares(counts, size)
+        assert (open_bins[1:size], len(used)) == (want, new)
+
+
 def test_sum_of_squares_takes_counts_of_any_size():
     counts = {3000: 10 ** 9, 1096: 10 ** 9, 4096: 5, 1: 7}
     runs = packing.sum_of_squares(counts)
