@@ -5,7 +5,6 @@ Each stage works on all the rows the one before kept, as written and reread.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meshtally.llm import decontaminate, language, packing, quality, simhash
 from meshtally.llm.common import ready
-from meshtally.session import scratch_dir
+from meshtally.session import settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    for _, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir))
     return docs
