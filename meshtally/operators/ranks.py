@@ -63,9 +63,21 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: str, weight: Column
 
 
 def numbered(df: DataFrame, groups: Sequence[str], order: str, tie: str, out: str = "pos") -> DataFrame:
-    """Number the rows of each group from 0 in the order of (``order``, ``tie``)."""
-    counted = running_sum(df, groups, order, F.lit(1).cast("bigint"), tie, out)
-    return counted.withColumn(out, F.col(out) - 1)
+    """Number the rows of each group from 0 in the order of (``order``, ``tie``).
+
+    Each part is stored in that order with its rows' places, so a number is a place less that of the group's
+    first row in the part, plus the rows in the parts before: no window runs over the rows. ``df`` is read twice,
+    once for the partitioner's sample.
+    """
+    keys = list(groups)
+    by = [*keys, order, tie]
+    laid = settle(df.repartitionByRange(*by).sortWithinPartitions(*by)
+                  .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    one = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")  # a row per partition that holds a part of the group
+    starts = laid.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")).select(
+        *keys, "_part", (F.sum("_n").over(one) - F.col("_n") - F.col("_first")).alias("_shift"))
+    return join_on(laid, starts, [*keys, "_part"]).withColumn(out, F.col("_at") + F.col("_shift")).drop(
+        "_part", "_at", "_shift")
 
 
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
