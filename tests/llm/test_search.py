@@ -15,8 +15,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from meshtally.llm import codes, lexical, metric_tree  # noqa: E402
 from meshtally.llm.common import ready  # noqa: E402
-from meshtally.llm.queries import QUERIES, SQL  # noqa: E402
-from tools.check_queries import connect, differences, duck_rows, spark_rows  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 VECTORS = "vec_id bigint, embedding array<float>, label int, score string, row string, part string"
@@ -31,11 +29,6 @@ def sorted_rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["op11_lexical", "op12_metric_tree", "op13_codes"])
-def test_queries_against_sql(sp, name):
-    assert differences(spark_rows(QUERIES[name](sp, SF)), duck_rows(connect(SF), SQL[name])) is None
-
-
 # --- 11 lexical search
 
 def brute_search(docs, items, k):
