@@ -134,14 +134,14 @@ def box_stats(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFram
         F.greatest(F.coalesce("_hi", "q3"), "q3").alias("whishi"))
 
 
-TERMS = 22  # of the expansion of a kernel about the middle of its box
+TERMS, WIDTH = 14, 0.5  # of the expansion of a kernel about the middle of its box; of a box, in bandwidths
 
 
 def density(df: DataFrame, value: str, group: str, members: Sequence, points: int = 100) -> DataFrame:
     """(group, i, x, y): Gaussian kernel density of the listed groups, Scott's bandwidth.
 
-    Linear in the values: a box as wide as the bandwidth keeps a few moments of the values in it, from which their kernels follow
-    at any distance. Cutting the expansion after ``TERMS`` terms changes a kernel by less than 1e-16 of its peak. A box only
+    Linear in the values: a box half as wide as the bandwidth keeps a few moments of the values in it, from which their kernels
+    follow at any distance. Cutting the expansion after ``TERMS`` terms changes a kernel by less than 1e-14 of its peak. A box only
     reaches the grid points where kernels are not zero in double precision, so nothing is left out.
     """
     rows = value_counts(df.where(F.col(group).isin(list(members))).select(
@@ -154,14 +154,17 @@ def density(df: DataFrame, value: str, group: str, members: Sequence, points: in
         (F.sqrt(F.sum(off) / F.when(F.col("_total") > 1, F.col("_total") - 1))
          * F.pow(F.col("_total").cast("double"), F.lit(-0.2))).alias("_h")).where(F.col("_h") > 0))
     shape = shape.withColumn("_step", (F.col("_max") - F.col("_min")) / F.lit(points - 1))
-    place = (F.col("_v") - F.col("_min")) / F.col("_h")
+    place = (F.col("_v") - F.col("_min")) / (F.col("_h") * F.lit(WIDTH))
     boxed = join_on(rows, shape.select(group, "_min", "_h"), [group]).select(
-        group, F.floor(place).alias("_box"), (place - F.floor(place) - F.lit(0.5)).alias("_b"), "_n")
+        group, F.floor(place).alias("_box"), ((place - F.floor(place) - F.lit(0.5)) * F.lit(WIDTH)).alias("_b"), "_n")
     # exp(-(a - b)^2 / 2) = exp(-a^2 / 2) * sum over k of a^k * exp(-b^2 / 2) * b^k / k!, from the middle of the box
     weight = F.col("_n") * F.exp(F.col("_b") * F.col("_b") * F.lit(-0.5))
+    powers = [weight]
+    for _ in range(TERMS - 1):
+        powers.append(powers[-1] * F.col("_b"))
     moments = boxed.groupBy(group, "_box").agg(*[
-        (F.sum(weight * F.pow("_b", F.lit(float(k)))) / F.lit(float(math.factorial(k)))).alias(f"_m{k}") for k in range(TERMS)])
-    middle = F.col("_min") + (F.col("_box") + F.lit(0.5)) * F.col("_h")
+        (F.sum(p) / F.lit(float(math.factorial(k)))).alias(f"_m{k}") for k, p in enumerate(powers)])
+    middle = F.col("_min") + (F.col("_box") + F.lit(0.5)) * F.col("_h") * F.lit(WIDTH)
     reach = F.lit(40.0) * F.col("_h")
     first = F.greatest(F.lit(0), F.ceil((middle - reach - F.col("_min")) / F.col("_step")).cast("int"))
     final = F.least(F.lit(points - 1), F.floor((middle + reach - F.col("_min")) / F.col("_step")).cast("int"))
