@@ -176,8 +176,11 @@ class Index:
     files: list[tuple[str, str, str, int, int]]
 
 
-def build_index(captures: DataFrame, folder: str, shards: int = 64) -> Index:
-    """Sort the captures into compressed blocks of ``LINES``, in at most ``shards`` index files, with directories."""
+def build_index(captures: DataFrame, folder: str, shards: int | None = None) -> Index:
+    """Sort the captures into compressed blocks of ``LINES``, in index files with directories.
+
+    Unless ``shards`` says how many at most, there are 64, or as many as hold a million captures each.
+    """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Writer(f"{folder}/index", ".cdx.gz")
         directory: list[tuple[str, int, int]] = []
@@ -205,6 +208,7 @@ def build_index(captures: DataFrame, folder: str, shards: int = 64) -> Index:
         out.close()
 
     order = ["key", "page_id", "file", "offset"]
+    shards = shards or max(64, -(-captures.count() // 1_000_000))
     rows = captures.select("key", "page_id", "file", "offset", "length").repartitionByRange(
         shards, *order).sortWithinPartitions(*order)
     files = settle(rows.mapInArrow(write, "first string, last string, file string, at bigint, size bigint")).collect()
