@@ -55,7 +55,7 @@ def _range_of(rows: DataFrame, splitters: list[tuple]) -> Column:
 
 
 def shards(df: DataFrame, count: int = 8, law: str = "bytes", rows_per_range: int = 500_000,
-           most_ranges: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
+           keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, *keep) for every row of ``df``.
 
     ``df`` has doc_id and text; of its other columns only those in ``keep`` are read and
@@ -63,7 +63,7 @@ def shards(df: DataFrame, count: int = 8, law: str = "bytes", rows_per_range: in
     by at most one. size is the text's UTF-8 bytes plus 1, NULL text counting as empty (also
     for the checksum). NULL ids come first among equal texts; repeated rows are separate rows. slot numbers a
     shard's rows from 0 without gaps. grown_shard is NULL: these laws move rows when a shard
-    is added. No rows give none. Above ``most_ranges`` ranges get longer, and are sorted on disk.
+    is added. No rows give none. Ranges hold about ``rows_per_range`` rows however many there are.
     """
     if law not in ("bytes", "rows"):
         raise ValueError(f"law {law!r} is neither bytes nor rows")
@@ -74,7 +74,7 @@ def shards(df: DataFrame, count: int = 8, law: str = "bytes", rows_per_range: in
         F.crc32(text.cast("binary")).alias("text_crc32"), F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept")))
     light = light.withColumn("weight", F.col("size") if law == "bytes" else F.lit(1).cast("bigint"))
     rows, total = light.agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
-    wanted = max(1, min(most_ranges, max(8 * count, math.ceil(rows / rows_per_range))))
+    wanted = max(8 * count, math.ceil(rows / rows_per_range))
     splitters = _sampled(light, PER_RANGE * wanted)[PER_RANGE - 1::PER_RANGE] if rows else []
     sums: dict[int, tuple[int, int]] = {}
     while True:
@@ -83,7 +83,7 @@ def shards(df: DataFrame, count: int = 8, law: str = "bytes", rows_per_range: in
                 ranged.groupBy("range").agg(F.count(F.lit(1)), F.sum("weight")).collect()}  # bounded by the splitters
         over = [k for k, (n, w) in sums.items()
                 if n > 1 and max(n / max(rows, 1), w / max(total, 1)) > 4 / wanted and n > 1000]
-        if not over or len(splitters) >= 4 * most_ranges:
+        if not over:
             break
         more = _sampled(ranged.where(F.col("range").isin(over)), PER_RANGE * 4 * len(over))
         new = [k for k in more[PER_RANGE - 1::PER_RANGE] if k not in splitters]
