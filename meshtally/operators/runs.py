@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshtally.functions.maths import merge_maps, params_text
@@ -29,18 +29,27 @@ def catalogue(runs: DataFrame, flows: DataFrame, params: str = "params", flow: s
 
 
 BLOCK = 10_000  # combinations that a task makes of one row
+PIECE = 100  # values of one list that travel together
+
+
+def _pieces(values: str) -> Column:
+    """A list as a list of lists of ``PIECE`` values, the last one shorter."""
+    places = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / PIECE).cast("int"))
+    return F.transform(places, lambda i: F.slice(F.col(values), i * PIECE + 1, F.lit(PIECE)))
 
 
 def grid(df: DataFrame, values: Sequence[str], out: str = "params") -> DataFrame:
     """Every combination of the row's own value lists, as a map from list name to value.
 
-    Combinations are numbered and their numbers dealt to all tasks in blocks, so the product of one row may be of any
-    size; a number's digits, with the lists' lengths as bases, are the places in the lists. An empty or NULL list
-    leaves no combination.
+    Lists are cut in pieces first, so that no block carries a long list whole. The combinations of pieces are numbered and
+    their numbers dealt to all tasks in blocks, so the product of one row may be of any size; a number's digits, with the
+    pieces' lengths as bases, are the places in them. An empty or NULL list leaves no combination.
     """
     sizes = [F.size(c).cast("bigint") for c in values]
-    rows = df.where(reduce(lambda a, b: a & b, [F.coalesce(n, F.lit(0)) > 0 for n in sizes])).withColumn(
-        "_total", reduce(lambda a, b: a * b, sizes))
+    rows = df.where(reduce(lambda a, b: a & b, [F.coalesce(n, F.lit(0)) > 0 for n in sizes]))
+    for c in values:
+        rows = rows.withColumn(c, F.explode(_pieces(c)))
+    rows = rows.withColumn("_total", reduce(lambda a, b: a * b, sizes))
     start, end = F.lit(0).cast("bigint"), F.col("_total")
     for step in (BLOCK * BLOCK, BLOCK):
         step = F.lit(step).cast("bigint")

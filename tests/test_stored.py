@@ -345,3 +345,25 @@ def test_grids_are_made_by_many_tasks(spark, rows, monkeypatch):
     made = runs.grid(big, ["a", "b"]).select("a", "b", F.spark_partition_id().alias("p"))
     assert made.distinct().count() == 150000 and made.select("a", "b").distinct().count() == 150000
     assert made.select("p").distinct().count() > 4
+
+
+def moved_bytes(df):
+    """Bytes that the exchanges of a collected query held."""
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            found += node.metrics().apply("dataSize").value()
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else \
+            [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_grid_blocks_do_not_carry_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(runs, "BLOCK", 1000)
+    df = spark.range(1).select(F.expr("sequence(1L, 40001L)").alias("a"), F.expr("sequence(1, 9)").alias("b"))
+    made = runs.grid(df, ["a", "b"]).agg(F.count(F.lit(1)), F.sum("a"), F.sum("b"), F.count_distinct("a"))
+    assert tuple(made.collect()[0]) == (360_009, 9 * 40001 * 40002 // 2, 45 * 40001, 40001)
+    # whole, the list of 320 kB would go with each of 361 blocks
+    assert 0 < moved_bytes(made) < 20e6
