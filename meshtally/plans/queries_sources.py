@@ -57,7 +57,9 @@ def xml_files(spark, sf):
     motes = F.repeat(F.lit("<mote><id>1</id></mote>"), (F.col("s_suppkey") % 5 + F.col("s_nationkey") % 3).cast("int"))
     docs = V.table(spark, sf, "supplier").select("s_suppkey", F.concat(
         F.lit("<simconf><simulation><title>t</title>"), motes, F.lit("</simulation><mote/></simconf>")).alias("value"))
-    read = tables.read_documents(spark, _text_folders(docs, spark, "s_suppkey"))
+    # the suppliers are few bytes and many files: a task for every share of the files, not of the bytes
+    shares = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
+    read = tables.read_documents(spark, _text_folders(shares, spark, "s_suppkey"))
     return tables.element_count(read).select(_folder("s_suppkey").cast("bigint").alias("s_suppkey"), "n")
 
 

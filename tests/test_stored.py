@@ -14,6 +14,7 @@ from meshtally.operators import formats, runs, sketches, stats
 from meshtally.operators.process import merge
 from meshtally.operators.reconcile import reconcile, reconcile_stored, round_trips, store_events
 from meshtally.operators.sessions import part_reused, sessions
+from meshtally.plans import queries_sources
 from meshtally.plans import views as V
 from meshtally.plans.queries_stored import grow
 from meshtally.sources import logs, tables
@@ -367,3 +368,12 @@ def test_grid_blocks_do_not_carry_long_lists(spark, monkeypatch):
     assert tuple(made.collect()[0]) == (360_009, 9 * 40001 * 40002 // 2, 45 * 40001, 40001)
     # whole, the list of 320 kB would go with each of 361 blocks
     assert 0 < moved_bytes(made) < 20e6
+
+
+def test_every_share_of_the_documents_has_a_task(spark, rows, tmp_path, monkeypatch):
+    keys = [(k, k % 7) for k in range(1, 65)]
+    spark.createDataFrame(keys, "s_suppkey bigint, s_nationkey int").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(queries_sources, "scratch_dir", lambda _: str(tmp_path / "scratch"))
+    assert rows(queries_sources.xml_files(spark, str(tmp_path))) == sorted(((k, k % 5 + n % 3) for k, n in keys), key=repr)
+    files = list((tmp_path / "scratch").rglob("part-*"))
+    assert len(files) == 64 and len({re.match(r"part-(\d+)", f.name).group(1) for f in files}) > 4
