@@ -363,7 +363,7 @@ def moved_bytes(df):
 
 def test_grid_blocks_do_not_carry_long_lists(spark, monkeypatch):
     monkeypatch.setattr(runs, "BLOCK", 1000)
-    df = spark.range(1).select(F.expr("sequence(1L, 40001L)").alias("a"), F.expr("sequence(1, 9)").alias("b"))
+    df = spark.range(1).select(F.expr("sequence(id + 1, id + 40001)").alias("a"), F.expr("sequence(1, 9)").alias("b"))
     made = runs.grid(df, ["a", "b"]).agg(F.count(F.lit(1)), F.sum("a"), F.sum("b"), F.count_distinct("a"))
     assert tuple(made.collect()[0]) == (360_009, 9 * 40001 * 40002 // 2, 45 * 40001, 40001)
     # whole, the list of 320 kB would go with each of 361 blocks
