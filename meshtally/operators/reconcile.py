@@ -37,27 +37,60 @@ def packet_summary(events: DataFrame, packet: str, modal: Sequence[str], time_us
     frequent value (smallest on ties, NULLs left out).
 
     Step one counts the distinct combinations of a packet's columns. Step two brings these together once per packet; the
-    per-column sums and the final aggregate reuse that partitioning. ``by`` adds
+    counts per column and the final aggregate reuse that partitioning. ``by`` adds
     leading keys, such as the run.
     """
     first = combinations(events, packet, modal, time_us, state, hops, fixed, by)
     return _summary(first.repartition(*by, packet), packet, modal, hops is not None, fixed, by)
 
 
+FEW = 32  # combinations of one packet that are looked at together
+
+
+def _most(rows: Column, c: str) -> Column:
+    """The value of ``c`` with the highest summed count in a short list, the smallest of several; NULL only if there is no other."""
+    def times(v: Column) -> Column:
+        return F.aggregate(rows, F.lit(0).cast("bigint"), lambda acc, e: F.when(e[c] == v, acc + e["n"]).otherwise(acc))
+
+    values = F.array_distinct(F.transform(rows, lambda r: r[c]))
+    return F.array_min(F.transform(values, lambda v: F.struct((-times(v)).alias("m"), v.alias("v"))))["v"]
+
+
 def _summary(merged: DataFrame, packet: str, modal: Sequence[str], hops: bool, fixed: Sequence[str],
              by: Sequence[str]) -> DataFrame:
-    """Step two, on combinations that are laid out by packet."""
+    """Step two, on combinations that are laid out by packet.
+
+    One sort brings a packet's combinations together. Packets of few are done there and go on as one row each, so only these
+    rows, not all combinations, meet a second sort. The combinations of other packets go on once for each modal column, and
+    that sort counts the column's values: a packet may have any number of them.
+    """
     key = [*by, packet, *fixed]
-    for i, c in enumerate(modal):
-        merged = merged.withColumn(f"_n{i}", F.sum("_n").over(W.partitionBy(*key, c)))
+    whole = {**dict.fromkeys(STATES, F.sum), "_first": F.min, "_last": F.max, **({"_hops": F.max} if hops else {})}
+    if modal:
+        place = W.partitionBy(*key).orderBy("_first")
+        every = place.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        few = F.col("_rows") <= FEW
+        rows = merged.withColumns({"_rows": F.count(F.lit(1)).over(every), "_place": F.row_number().over(place)})
+        rows = rows.withColumns({
+            **{f"_all{c}": f(c).over(every) for c, f in whole.items()},
+            "_list": F.collect_list(F.when(few, F.struct(
+                F.col("_n").alias("n"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(modal)]))).over(every)})
+        rows = rows.where(~few | (F.col("_place") == 1)).withColumns({
+            **{c: F.when(few, F.col(f"_all{c}")).otherwise(F.col(c)) for c in whole},
+            **{c: F.when(few, _most(F.col("_list"), f"v{i}")).otherwise(F.col(c)) for i, c in enumerate(modal)}})
+        # -1: the one row of a packet; else the number of the column that this copy of a row counts
+        rows = rows.withColumn("_of", F.explode(F.when(few, F.array(F.lit(-1))).otherwise(
+            F.array(*[F.lit(i) for i in range(len(modal))]))))
+        own = [F.when(F.col("_of") == i, F.col(c)) for i, c in enumerate(modal)]
+        merged = rows.withColumn("_same", F.sum("_n").over(W.partitionBy(*key, "_of", *own))).withColumns(
+            {c: F.when(F.col("_of") <= 0, F.col(c)) for c in STATES})
 
     def most(i: int, c: str) -> Column:
-        return F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(-F.col(f"_n{i}"), F.col(c)))).alias(c)
+        counted = F.col(c).isNotNull() & F.col("_of").isin(-1, i)
+        return F.min_by(c, F.when(counted, F.struct(-F.col("_same"), F.col(c)))).alias(c)
 
     return merged.groupBy(*key).agg(
-        *[F.sum(c).alias(c) for c in STATES],
-        F.min("_first").alias("_first"), F.max("_last").alias("_last"),
-        *([F.max("_hops").alias("hops")] if hops else []),
+        *[f(c).alias("hops" if c == "_hops" else c) for c, f in whole.items()],
         *[most(i, c) for i, c in enumerate(modal)])
 
 

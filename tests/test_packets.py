@@ -1,3 +1,5 @@
+import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshtally.functions.packets import status_by_pairing, status_by_receipt
 from meshtally.operators import formats
+from meshtally.operators import reconcile as reconcile_module
 from meshtally.operators.reconcile import reconcile, reconcile_testbed, round_trips, state_cells, state_matrix
 
 EVENT = "time bigint, node int, state string, type string, src int, dest int, seq bigint, hops int"
@@ -134,3 +137,34 @@ def test_reconcile_needs_no_keys_from_us(spark):
     df = events(spark, [(1, 7, "TX", "A", 7, 1, 1, 2)]).withColumns(
         {"packet": F.lit("p"), "id": F.lit("i"), "origin": F.lit(1), "target": F.lit(1)})
     assert reconcile(df).first()["received"] == "missed"
+
+
+def test_packets_of_any_number_of_combinations(spark, monkeypatch):
+    """Packets of few and of many combinations, NULLs and ties among them, against counting by hand; few sorts."""
+    monkeypatch.setattr(reconcile_module, "FEW", 5)
+    r = random.Random(7)
+    columns = ["packet", "state", "time", "hops", "type", "id", "src", "dest", "seq", "origin", "target"]
+    some = lambda n: r.choice([None, *range(n)])
+    data = [(f"p{p}" if p else None, r.choice(["TX", "RX", "RTR", "FWD", None]), r.randint(0, 10**6), some(5), r.choice(["a", "b", None]),
+             r.choice(["x", "y"]), some(3), some(2), some(40), some(4), None)
+            for p in range(40) for _ in range(p * p // 4 + 1)]
+    df = spark.createDataFrame(data, "packet string, state string, time bigint, hops int, type string, id string, src int, dest int, "
+                                     "seq bigint, origin int, target int")
+    for by, fixed in (([], ()), (["id"], ("id",))):
+        made = reconcile(df, fixed, by)
+        want = {}
+        for p in {(d[0], d[5]) if by else (d[0],) for d in data}:
+            own = [dict(zip(columns, d, strict=True)) for d in data if ((d[0], d[5]) if by else (d[0],)) == p]
+            mode = {}
+            for c in ("type", "id", "src", "dest", "seq", "origin", "target"):
+                seen = Counter(e[c] for e in own if e[c] is not None)
+                mode[c] = min(seen, key=lambda v, s=seen: (-s[v], v)) if seen else None
+            states = Counter(e["state"] for e in own)
+            times = [e["time"] for e in own]
+            want[p] = (*[states[x] for x in ("TX", "RX", "RTR", "FWD")], *mode.values(),
+                       max((e["hops"] for e in own if e["hops"] is not None), default=None), min(times), max(times))
+        got = made.select("packet", F.col("id").alias("own_id"), "TX", "RX", "RTX", "FWD", "type", "id", "src", "dest", "seq", "origin",
+                          "target", "hops", F.unix_micros("mintime"), F.unix_micros("maxtime")).collect()
+        assert len(got) == len(want)
+        assert {(g[0], g[1]) if by else (g[0],): tuple(g)[2:] for g in got} == want
+        assert made._jdf.queryExecution().executedPlan().toString().count("- Sort [") <= 2
